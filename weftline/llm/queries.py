@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, html, packing, pii, quality, simhash
+from . import bpe, embeddings, html, packing, pii, quality, simhash, substrings, suffixes
 from .common import table
 
 
@@ -21,10 +21,18 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.links(table(spark, sf_dir, "embeddings"))
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -37,5 +45,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html, op3_packing, op4_embeddings, op6_pii, op8_simhash, op9_quality, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_html, op3_packing, op4_embeddings, op5_suffixes, op6_pii, op7_substrings, op8_simhash, op9_quality, op10_bpe)}
 ORACLES: dict[str, str] = {}
