@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, embeddings, html, packing, pii, quality, simhash, substrings, suffixes
+from . import bpe, embeddings, html, licences, packing, pii, quality, simhash, substrings, suffixes
 from .common import table
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, language, a folder of 64 ids."""
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 64), "doc_id")
+    return licences.scan(table(spark, sf_dir, "documents"), path)
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -45,5 +52,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html, op3_packing, op4_embeddings, op5_suffixes, op6_pii, op7_substrings, op8_simhash, op9_quality, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_licences, op2_html, op3_packing, op4_embeddings, op5_suffixes, op6_pii, op7_substrings, op8_simhash, op9_quality, op10_bpe)}
 ORACLES: dict[str, str] = {}
