@@ -18,6 +18,7 @@ the number of chunks. Hash collisions in A and B only add clips; C and D compare
 from __future__ import annotations
 
 import pickle
+from array import array
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -216,7 +217,7 @@ class _Chunk:
         return np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
 
 
-def apply(docs: DataFrame, scheme: Scheme, finish: Callable[[pa.Table, list[bytes], list[np.ndarray]], pa.Table], ddl: str, key: str, text: str, chunk_mb: float = 6.0) -> DataFrame:
+def apply(docs: DataFrame, scheme: Scheme, finish: Callable[[pa.Table, list[bytes], list[np.ndarray]], pa.Table], ddl: str, key: str, text: str, chunk_mb: float = 4.0) -> DataFrame:
     """``finish`` gets a chunk's rows, their texts, and for each row the (first, end) window ranges that occur earlier."""
     spark = docs.sparkSession
     chunks = parts_for(docs, chunk_mb, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -297,6 +298,24 @@ def apply(docs: DataFrame, scheme: Scheme, finish: Callable[[pa.Table, list[byte
     return dealt.groupBy(_CHUNK).cogroup(found.groupBy(_CHUNK)).applyInArrow(lambda t, a: end(t, a) if t.num_rows else None, ddl)
 
 
+class Places:
+    """Answers of a shard, by chunk, without an object for each."""
+
+    def __init__(self):
+        self.of: dict[int, tuple[array, array, array]] = {}
+
+    def add(self, chunk: int, run: Run, a: int, b: int, x: int, y: int) -> None:
+        """Windows x to y of the places a to b of a run occur earlier."""
+        if a < b:
+            rows, firsts, ends = self.of.get(chunk) or self.of.setdefault(chunk, (array("I"), array("I"), array("I")))
+            rows.frombytes(run.rows[a:b].tobytes())
+            firsts.frombytes((run.firsts[a:b] + np.uint32(x)).tobytes())
+            ends.frombytes((run.firsts[a:b] + np.uint32(y)).tobytes())
+
+    def __iter__(self):
+        return ((chunk, *(np.frombuffer(x, np.uint32) for x in parts)) for chunk, parts in self.of.items())
+
+
 def covered(ranges: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Maximal spans of symbols that windows starting in sorted (first, end) ranges cover."""
     out: list[tuple[int, int]] = []

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import _M, BYTE_HASH, Run, Scheme, apply, covered, mixed, powers, ranges_of
+from .anchors import _M, BYTE_HASH, Places, Run, Scheme, apply, covered, mixed, powers, ranges_of
 
 WINDOW, GRAM = 20, 8
 _WORD = 8
@@ -83,14 +83,7 @@ def solve(runs: list[tuple[int, Run]], window: int = WINDOW, gram: int = GRAM):
         at = run.at.tolist()
         for i, (_, right, left) in enumerate(run.clips()):
             groups.setdefault(right[: gram * _WORD], {}).setdefault(left + right, []).append((chunk, run, at[i], at[i + 1]))
-    out: dict[int, tuple[list, list, list]] = {c: ([], [], []) for c, _ in runs}
-
-    def give(chunk: int, run: Run, a: int, b: int, x: int, y: int) -> None:
-        if a < b:
-            out[chunk][0].append(run.rows[a:b])
-            out[chunk][1].append(run.firsts[a:b] + np.uint32(x))
-            out[chunk][2].append(run.firsts[a:b] + np.uint32(y))
-
+    out = Places()
     place = lambda p: (int(p[1].keys[p[2]]), int(p[1].rows[p[2]]), int(p[1].firsts[p[2]]))
     for clips in groups.values():
         if len(clips) == 1 and sum(b - a for ps in clips.values() for _, _, a, b in ps) == 1:
@@ -100,16 +93,14 @@ def solve(runs: list[tuple[int, Run]], window: int = WINDOW, gram: int = GRAM):
             windows = len(clip) // _WORD - window + 1
             first = min(places, key=place)
             for p in places:  # a run's places are in ascending order
-                give(p[0], p[1], p[2] + (p is first), p[3], 0, windows)
+                out.add(p[0], p[1], p[2] + (p is first), p[3], 0, windows)
             if automaton:
                 words = np.frombuffer(clip, np.uint64).tolist()
                 found = automaton.statistics(words)
                 for x, y in ranges_of([n >= window for n in found[window - 1 :]]):
-                    give(first[0], first[1], first[2], first[2] + 1, x, y)
+                    out.add(first[0], first[1], first[2], first[2] + 1, x, y)
                 automaton.add(words)
-    for chunk, (rows, firsts, ends) in out.items():
-        if rows:
-            yield chunk, np.concatenate(rows), np.concatenate(firsts), np.concatenate(ends)
+    return out
 
 
 def word_hashes(text: bytes) -> np.ndarray:

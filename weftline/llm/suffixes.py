@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import BYTE_HASH, Run, Scheme, apply, covered, ranges_of, shared_prefix
+from .anchors import BYTE_HASH, Places, Run, Scheme, apply, covered, ranges_of, shared_prefix
 
 WINDOW, GRAM = 50, 24
 
@@ -87,13 +87,7 @@ def _players(chunk: int, run: Run):
 
 
 def solve(runs: list[tuple[int, Run]], window: int = WINDOW, gram: int = GRAM):
-    out: dict[int, tuple[list, list, list]] = {c: ([], [], []) for c, _ in runs}
-
-    def give(chunk: int, run: Run, a: int, b: int, ranges: list[tuple[int, int]]) -> None:
-        for x, y in ranges:
-            out[chunk][0].append(run.rows[a:b])
-            out[chunk][1].append(run.firsts[a:b] + np.uint32(x))
-            out[chunk][2].append(run.firsts[a:b] + np.uint32(y))
+    out = Places()
 
     def settle(group: list[tuple[bytes, tuple]]) -> None:
         if len(group) == 1 and group[0][1][4] - group[0][1][3] == 1:
@@ -104,8 +98,7 @@ def solve(runs: list[tuple[int, Run]], window: int = WINDOW, gram: int = GRAM):
             windows = len(left) + len(right) - window + 1
             for _, (_, chunk, run, a, b) in group:
                 a += int(np.searchsorted(run.keys[a:b], least, side="right"))
-                if a < b:
-                    give(chunk, run, a, b, [(0, windows)])
+                out.add(chunk, run, a, b, 0, windows)
             return
         least_of: dict[bytes, int] = {}
         cut = []
@@ -121,13 +114,12 @@ def solve(runs: list[tuple[int, Run]], window: int = WINDOW, gram: int = GRAM):
             top = max(least)
             keys = run.keys[a:b]
             behind = int(np.searchsorted(keys, top, side="right"))
-            if behind < b - a:  # larger than every window's smallest document
-                give(chunk, run, a + behind, b, [(0, len(own))])
+            out.add(chunk, run, a + behind, b, 0, len(own))  # larger than every window's smallest document
             i = 0
             while i < behind:
                 j = int(np.searchsorted(keys, keys[i], side="right"))
-                if ranges := ranges_of([x < keys[i] for x in least]):
-                    give(chunk, run, a + i, a + min(j, behind), ranges)
+                for x, y in ranges_of([x < keys[i] for x in least]):
+                    out.add(chunk, run, a + i, a + j, x, y)
                 i = j
 
     group: list[tuple[bytes, tuple]] = []
@@ -138,9 +130,7 @@ def solve(runs: list[tuple[int, Run]], window: int = WINDOW, gram: int = GRAM):
         group.append((right, payload))
     if group:
         settle(group)
-    for chunk, (rows, firsts, ends) in out.items():
-        if rows:
-            yield chunk, np.concatenate(rows), np.concatenate(firsts), np.concatenate(ends)
+    return out
 
 
 def _lay(texts: list[bytes]):
