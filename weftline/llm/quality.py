@@ -45,10 +45,11 @@ def _without(c: Column, chars: str) -> Column:
     return c
 
 
-def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """One row per document: the counts and both histograms."""
+def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang", carry: bool = False) -> DataFrame:
+    """One row per document: the counts and both histograms; with ``carry`` also ``_row``, all of its columns."""
     language = F.lit("") if lang is None else F.when(F.col(lang).isin(*[x for x in COMMON if x]), F.col(lang)).otherwise("")
-    df = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"), language.alias("_lang"))
+    own = [F.struct("*").alias("_row")] if carry else []
+    df = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"), language.alias("_lang"), *own)
     df = df.select("*", F.btrim("_t", F.lit(SEPARATORS)).alias("_trim"))
     df = df.select("*", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", r"[ \t-\r]+")).alias("_w"), _without(F.col("_t"), SEPARATORS).alias("_dense"))
     df = df.select("*", F.size("_w").cast("bigint").alias("n_words"), F.length(F.bin(F.size("_w"))).alias("_bits"))
@@ -80,7 +81,7 @@ def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str |
         else:
             by_language = by_language.otherwise(histogram)
     df = df.select(
-        key, "_lang", "n_words", word_chars.cast("bigint").alias("word_chars"), (dense - plain).cast("bigint").alias("n_symbols"),
+        key, "_lang", *(["_row"] if carry else []), "n_words", word_chars.cast("bigint").alias("word_chars"), (dense - plain).cast("bigint").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"),
         F.expr("aggregate(transform(_r, (x, j) -> least(3L, coalesce(get(_r, j + 1) - x, 3L))), 0L, (a, x) -> a + x)").alias("n_repeat_words"),
         F.array(*known, F.greatest(total - sum(known[1:], known[0]), F.lit(0))).alias("_classes"), by_language.alias("_common"),
@@ -98,7 +99,16 @@ def _distance(p: str, q: str) -> Column:
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """Counts with ``class_distance``, ``word_distance``, ``base_failed`` and ``kept``."""
-    found = written(counts(docs, key, text, lang))
+    df = _judged(written(counts(docs, key, text, lang)))
+    return df.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
+def sound(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
+    """The kept documents with all their columns. Rows are written once with their counts, so that no text is exchanged."""
+    return _judged(written(counts(docs, key, text, lang, carry=True))).where("kept").select("_row.*")
+
+
+def _judged(found: DataFrame) -> DataFrame:
     sizes = {"_classes": len(CLASSES), "_common": len(COMMON[""]) + 1}
 
     def measured(sound: Column, df: DataFrame) -> DataFrame:
@@ -114,5 +124,4 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str |
     df = measured(near, first).withColumn("_n", F.expr("aggregate(_classes, 0L, (a, x) -> a + x)"))
     far = F.col("class_distance") > MAX_CLASS_DISTANCE
     odd = far & ((F.col("_n") >= MIN_CHARS_ALONE) | ((F.col("_n") >= MIN_CHARS) & (F.col("word_distance") > MAX_WORD_DISTANCE)))
-    df = df.withColumn("kept", ~F.col("base_failed") & ~odd)
-    return df.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    return df.withColumn("kept", ~F.col("base_failed") & ~odd)

@@ -7,8 +7,9 @@ inequality any linked pair then meets in a shard. Each shard builds its own vant
 down to small leaves, whose pairs are compared exactly. Links become stars before they leave a shard, and components of the
 whole are found from these.
 
-Defined results: a null text, or one without words, has fingerprint zero and links like any other. Repeated rows share
-a fingerprint. Shingles include repeats.
+Defined results: a null text, or one without words, has fingerprint zero and links like any other. Shingles include
+repeats. Rows that share an id are one document: they stay or go together. A row without an id doesn't link others; it has
+the component of its fingerprint, null if no row with an id has it, and always stays.
 """
 
 from __future__ import annotations
@@ -146,10 +147,11 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
     """One row per document: ``fp``, ``fingerprint`` in hexadecimal and ``component_id``."""
     fps = written(fingerprints(docs, key, text, shingle))
     distinct = written(fps.groupBy("fp").agg(F.min(key).cast("bigint").alias("rep")))
+    some = distinct.where("rep IS NOT NULL")
     shards = max(1, math.ceil(distinct.count() / SHARD))
     wanted = min(SAMPLE, SAMPLE_EACH * shards)
     # A bounded sample: at most SAMPLE fingerprints reach the driver, to place vantage points.
-    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp", F.lit(SEED))).select("fp").limit(wanted).collect()], np.int64).view(np.uint64)
+    sample = np.array([r.fp for r in some.orderBy(F.xxhash64("fp", F.lit(SEED))).select("fp").limit(wanted).collect()], np.int64).view(np.uint64)
     tree = build(sample, max(0, math.ceil(math.log2(shards))), random.Random(SEED))
 
     def deal(batches):
@@ -165,8 +167,14 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
         found = np.array(stars(shard["fp"].to_numpy().view(np.uint64), distance), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": rep[found[:, 0]], "b": rep[found[:, 1]]})
 
-    dealt = distinct.select("fp", "rep").mapInArrow(deal, "fp bigint, rep bigint, shard bigint")
+    dealt = some.select("fp", "rep").mapInArrow(deal, "fp bigint, rep bigint, shard bigint")
     links = dealt.groupBy("shard").applyInPandas(search, "a bigint, b bigint")
     joined = components(links)
     classes = distinct.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return fps.join(classes, "fp").select(key, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """The documents with all their columns, of each group only the one with the smallest id."""
+    gone = groups(docs, key, text, distance, shingle).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct()
+    return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
