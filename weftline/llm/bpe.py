@@ -24,14 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import text_slices
 from .units import UnitCache
 
 #: Unicode white space, as the pretokenizer's \s.
 WS = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _UNIT = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 _PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
-_SLICE = 4_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -192,10 +191,9 @@ def _mapped(docs: DataFrame, vocabulary: str, key: str, text: str, schema: pa.Sc
     def run(batches):
         bpe = codec(vocabulary)
         for batch in batches:
-            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices([len(t) for t in texts], _SLICE):
-                rows = [result(ids, bpe.decode(ids)) for ids in bpe.encode_batch(texts[a:b])]
-                columns = [keys.slice(a, b - a), *(pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema))]
+            for part, texts in text_slices(batch, 1):
+                rows = [result(ids, bpe.decode(ids)) for ids in bpe.encode_batch(texts)]
+                columns = [part.column(0), *(pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema))]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, *schema.names])
 
     chosen = docs.select(F.col(key), F.col(text))

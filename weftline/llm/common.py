@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Word separators of all operators that split text into words: blank and U+0009 to U+000D.
@@ -61,3 +62,12 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def text_slices(batch, at: int, budget: int = 4_000_000):
+    """Slices of an Arrow batch with their texts from column ``at``, null texts being empty; only one slice's texts are Python
+    strings at a time. ``budget``: bytes of text to a slice, unless one text alone has more."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+    for a, b in slices(sizes, budget):
+        part = batch.slice(a, b - a)
+        yield part, [t or "" for t in part.column(at).to_pylist()]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import text_slices
 from .crf import Crf
 from .labelled_pages import labelled_pages
 
@@ -199,11 +199,9 @@ def extract(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), html:
 
     def run(batches):
         for batch in batches:
-            sources = [h or "" for h in batch.column(len(keys)).to_pylist()]
-            for a, b in slices([len(h) for h in sources], 4_000_000):
-                found = texts(sources[a:b], crf)
-                own = [c.slice(a, b - a) for c in batch.columns[: len(keys)]]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=[*keys, "text", "n_chars"])
+            for part, sources in text_slices(batch, len(keys)):
+                found = texts(sources, crf)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=[*keys, "text", "n_chars"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[: len(keys)])
     return chosen.mapInArrow(run, f"{ddl}, text string, n_chars bigint")

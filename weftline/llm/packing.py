@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for, slices
+from .common import parts_for, text_slices
 from .units import UnitCache
 
 LENGTH = 4096
 END = 2
-_SLICE = 4_000_000
 #: Units: runs without blanks, cut once more where a Latin letter meets a stop, which always ends a pretoken.
 _CUT = re.compile(r"[a-zß-öø-ÿ]++(?=[.,!])|[^ \n\t\r]+")
 
@@ -71,7 +70,7 @@ def _encoder(path: str) -> UnitCache:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return UnitCache(lambda units: [e.ids for e in tokenizer.encode_batch(units, add_special_tokens=False)], 1_200_000)
+    return UnitCache(lambda units: [e.ids for e in tokenizer.encode_batch(units, add_special_tokens=False)], 500_000)
 
 
 def _units(text: str) -> list[str]:
@@ -87,18 +86,17 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = EN
     def run(batches):
         cache = _encoder(vocabulary)
         for batch in batches:
-            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices([len(t) for t in texts], _SLICE):
-                flat, at = cache.ids([_units(t) for t in texts[a:b]])
+            for part, texts in text_slices(batch, 1):
+                flat, at = cache.ids([_units(t) for t in texts])
                 row, out = [], []
-                for i in range(b - a):
+                for i in range(len(texts)):
                     ids = np.append(flat[at[i] : at[i + 1]], end).astype("<u4")
                     for s in range(0, len(ids), length):
                         piece = ids[s : s + length]
-                        row.append(a + i)
+                        row.append(i)
                         out.append((s, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
                 columns = np.array(out, np.int64).T
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row, pa.int64())), *(pa.array(c) for c in columns)], names=[key, *names])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *(pa.array(c) for c in columns)], names=[key, *names])
 
     chosen = docs.select(F.col(key), F.col(text))
     return chosen.mapInArrow(run, f"`{key}` {chosen.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names))

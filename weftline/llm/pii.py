@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import text_slices
 from .crf import Crf
 
 KINDS = ("email", "ip", "card", "phone")
@@ -262,10 +262,8 @@ def _mapped(docs: DataFrame, ddl: str, result, text: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in slices([len(t) for t in texts], 4_000_000):
-                made = result(batch.slice(a, b - a), find(texts[a:b], crf), texts[a:b])
-                yield pa.RecordBatch.from_arrays(made, names=names)
+            for part, texts in text_slices(batch, at):
+                yield pa.RecordBatch.from_arrays(result(part, find(texts, crf), texts), names=names)
 
     before = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     return docs.mapInArrow(run, ", ".join(x for x in (before, ddl) if x))
