@@ -70,7 +70,7 @@ def _encoder(path: str) -> UnitCache:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return UnitCache(lambda units: [e.ids for e in tokenizer.encode_batch(units, add_special_tokens=False)], 500_000)
+    return UnitCache(lambda units: [e.ids for e in tokenizer.encode_batch(units, add_special_tokens=False)], 500_000, 4096)
 
 
 def _units(text: str) -> list[str]:

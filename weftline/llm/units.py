@@ -22,10 +22,11 @@ class _Index(dict):
 
 class UnitCache:
     """Ids of texts that are cut into independent units. ``encode`` maps many units to lists of ids at once.
-    The cache is dropped when it holds more than ``limit`` units, which bounds a worker's memory."""
+    The cache is dropped when it holds more than ``limit`` units, and ``at_once`` new ones are encoded in a call, which
+    bounds a worker's memory."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 700_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 700_000, at_once: int = 1 << 30):
+        self.encode, self.limit, self.at_once = encode, limit, at_once
         self.clear()
 
     def clear(self) -> None:
@@ -38,12 +39,16 @@ class UnitCache:
         number = self.index.__getitem__
         counts = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         codes = np.fromiter((number(u) for t in texts for u in t), np.int64, int(counts.sum()))
-        if self.index.pending:
-            new = self.encode(self.index.pending)
+        if pending := self.index.pending:
             self.index.pending = []
-            lens = np.fromiter(map(len, new), np.int64, len(new))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in new for i in ids), np.uint32, int(lens.sum()))])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens)])
+            flats, all_lens = [self.flat], []
+            for a in range(0, len(pending), self.at_once):
+                new = self.encode(pending[a : a + self.at_once])
+                lens = np.fromiter(map(len, new), np.int64, len(new))
+                flats.append(np.fromiter((i for ids in new for i in ids), np.uint32, int(lens.sum())))
+                all_lens.append(lens)
+            self.flat = np.concatenate(flats)
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(all_lens))])
         starts, lens = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
         upto = np.concatenate([[0], np.cumsum(lens)])
         flat = self.flat[np.repeat(starts - upto[:-1], lens) + np.arange(upto[-1])]
