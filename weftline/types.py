@@ -105,6 +105,12 @@ def compatible(a: Type, b: Type) -> bool:
     return False
 
 
+def _within(part: tuple[str, ...], whole: tuple[str, ...]) -> bool:
+    """Whether the names occur in this order."""
+    rest = iter(whole)
+    return all(p in rest for p in part)
+
+
 @dataclass(frozen=True)
 class Schema:
     fields: tuple[Field, ...]
@@ -113,6 +119,8 @@ class Schema:
     def find(self, name: str, lineage: tuple[str, ...] = ()) -> int:
         """Position of a name. A bare name has to be unique; a qualified one must match its lineage."""
         hits = [i for i, f in enumerate(self.fields) if f.name == name and (not lineage or f.lineage[-len(lineage) :] == lineage)]
+        if lineage and not hits:  # the alias of a later join, before names that an earlier one gave
+            hits = [i for i, f in enumerate(self.fields) if f.name == name and _within(lineage, f.lineage)]
         if lineage and len(hits) > 1:
             hits = [i for i in hits if self.fields[i].lineage == lineage] or hits
         if len(hits) > 1:
