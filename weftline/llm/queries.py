@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, embeddings, html, licences, packing, pii, quality, simhash, substrings, suffixes
 from .common import table
+from .oracles import ORACLES as ORACLES
 
 
 def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(table(spark, sf_dir, "documents"))
+    scored = quality.score(table(spark, sf_dir, "documents"))
+    return scored.drop("class_distance", "word_distance")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,4 +55,3 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_licences, op2_html, op3_packing, op4_embeddings, op5_suffixes, op6_pii, op7_substrings, op8_simhash, op9_quality, op10_bpe)}
-ORACLES: dict[str, str] = {}
