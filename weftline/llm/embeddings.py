@@ -172,7 +172,7 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
         return pd.DataFrame({"rep": rep[some], "linked": linked[some].astype(np.int64), "root": np.array([sets.find(a) for a in rep[some].tolist()], np.int64)})
 
     found = written(dealt.groupBy("l", "cell", "i", "j").applyInPandas(compare, "rep bigint, linked bigint, root bigint"))
-    joined = components(found.where("rep <> root").select("rep", "root"))
+    joined = components(found.where("rep <> root").select("rep", "root"), stars=True)
     counted = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     classes = classes.join(counted, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select("l", "v", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))

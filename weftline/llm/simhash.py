@@ -169,7 +169,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
 
     dealt = some.select("fp", "rep").mapInArrow(deal, "fp bigint, rep bigint, shard bigint")
     links = dealt.groupBy("shard").applyInPandas(search, "a bigint, b bigint")
-    joined = components(links)
+    joined = components(links, stars=True)
     classes = distinct.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return fps.join(classes, "fp").select(key, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
