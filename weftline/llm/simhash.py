@@ -30,6 +30,8 @@ from .components import UnionFind, components
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: Fingerprints to a shard; fingerprints of the sample to a shard, and in all at most.
 SHARD, SAMPLE_EACH, SAMPLE = 8192, 48, 1 << 18
+#: Ids that a broadcast may hold, of about 16 bytes each. More are joined by an exchange.
+BROADCAST_IDS = 2_000_000
 _LEAF = 160
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -176,5 +178,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """The documents with all their columns, of each group only the one with the smallest id."""
-    gone = groups(docs, key, text, distance, shingle).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+    gone = written(groups(docs, key, text, distance, shingle).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct())
+    # Either way texts are only streamed past the ids, not sorted.
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
+    return docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
