@@ -64,7 +64,6 @@ class PairIndexBpe:
         self.rank_of = np.argsort(codes, kind="stable")
         self.codes = codes[self.rank_of]
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self.cache = UnitCache(self._units)
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where the vocabulary doesn't merge it."""
@@ -138,13 +137,18 @@ class PairIndexBpe:
         upto = np.cumsum(live)[ends - 1] if n else np.zeros(0, np.int64)
         return np.split(ids, upto[:-1]) if len(words) else []
 
-    def _units(self, units: list[str]) -> list[list[int]]:
+    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cut = [_PRETOKEN.findall(u) for u in units]
         known = {p: i for i, p in enumerate(dict.fromkeys(p for ps in cut for p in ps))}
         ids = [x.tolist() for x in self._merge([p.encode("utf-8") for p in known])]
-        return [ids[known[ps[0]]] if len(ps) == 1 else [i for p in ps for i in ids[known[p]]] for ps in cut]
+        each = [ids[known[ps[0]]] if len(ps) == 1 else [i for p in ps for i in ids[known[p]]] for ps in cut]
+        lens = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter((i for x in each for i in x), np.uint32, int(lens.sum())), lens
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+    def cache(self) -> UnitCache:
+        return UnitCache(self._units)
+
+    def encode_batch(self, texts: list[str], cache: UnitCache | None = None) -> list[np.ndarray]:
         """The ids of each text as 32-bit unsigned integers."""
         parts, owner, special = [], [], {}
         for k, text in enumerate(texts):
@@ -155,7 +159,7 @@ class PairIndexBpe:
                     piece = ""
                 parts.append(_UNIT.findall(piece))
                 owner.append(k)
-        flat, at = self.cache.ids(parts)
+        flat, at = (cache or self.cache()).ids(parts)
         if not special:
             return [flat[at[k] : at[k + 1]] for k in range(len(texts))]
         out: list[list[np.ndarray]] = [[] for _ in texts]
@@ -190,9 +194,10 @@ def digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
 def _mapped(docs: DataFrame, vocabulary: str, key: str, text: str, schema: pa.Schema, ddl: str, result) -> DataFrame:
     def run(batches):
         bpe = codec(vocabulary)
+        cache = bpe.cache()
         for batch in batches:
             for part, texts in text_slices(batch, 1):
-                rows = [result(ids, bpe.decode(ids)) for ids in bpe.encode_batch(texts)]
+                rows = [result(ids, bpe.decode(ids)) for ids in bpe.encode_batch(texts, cache)]
                 columns = [part.column(0), *(pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema))]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, *schema.names])
 

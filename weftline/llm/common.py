@@ -64,10 +64,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_slices(batch, at: int, budget: int = 4_000_000):
-    """Slices of an Arrow batch with their texts from column ``at``, null texts being empty; only one slice's texts are Python
-    strings at a time. ``budget``: bytes of text to a slice, unless one text alone has more."""
+def slices_of(batch, at: int, budget: int = 4_000_000):
+    """Slices of an Arrow batch with at most ``budget`` bytes of text in column ``at``, unless one text alone has more."""
     sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
     for a, b in slices(sizes, budget):
-        part = batch.slice(a, b - a)
+        yield batch.slice(a, b - a)
+
+
+def text_slices(batch, at: int, budget: int = 4_000_000):
+    """The same slices with their texts, null texts being empty; only one slice's texts are Python strings at a time."""
+    for part in slices_of(batch, at, budget):
         yield part, [t or "" for t in part.column(at).to_pylist()]

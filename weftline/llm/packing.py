@@ -10,23 +10,25 @@ Defined results: a null or empty text is the end token alone. Repeated rows are
 
 from __future__ import annotations
 
-import re
+import unicodedata
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for, text_slices
+from .common import parts_for, slices_of
 from .units import UnitCache
 
 LENGTH = 4096
 END = 2
-#: Units: runs without blanks, cut once more where a Latin letter meets a stop, which always ends a pretoken.
-_CUT = re.compile(r"[a-zß-öø-ÿ]++(?=[.,!])|[^ \n\t\r]+")
+_CASED = "<\\||[Σİ\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff]"
+_MARK = "\x01"
+_STOP, _LETTER = (np.isin(np.arange(256), [*map(ord, chars)]) for chars in (".,!", "abcdefghijklmnopqrstuvwxyz0123456789"))
 
 
 class TournamentTree:
@@ -64,19 +66,59 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 @lru_cache(2)
-def _encoder(path: str) -> UnitCache:
+def _encoder(path: str):
+    """Encodes many units: all ids, and the number of each unit's. Units are joined by a control character between blanks, which
+    is a token of its own, so that one call of the library serves them all; units with that character go one by one."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return UnitCache(lambda units: [e.ids for e in tokenizer.encode_batch(units, add_special_tokens=False)], 500_000, 4096)
-
-
-def _units(text: str) -> list[str]:
-    """Runs without blanks. The tokenizer drops white space, so that these are independent, and lower-cases;
-    lower-casing first makes fewer of them. Capital sigma is left as it is: its lower case depends on its place."""
-    return _CUT.findall(text if "Σ" in text else text.lower())
+    tokenizer, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    for t in (tokenizer, plain):
+        t.no_truncation()
+        t.no_padding()
+    plain.normalizer = None
+    mark = tokenizer.encode(_MARK, add_special_tokens=False).ids
+
+    def alone(units: list[str]) -> list[np.ndarray]:
+        return [np.array(tokenizer.encode(u, add_special_tokens=False).ids, np.uint32) for u in units]
+
+    def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(mark) != 1 or any(_MARK in u for u in units):
+            each = alone(units)
+            return np.concatenate(each), np.array([len(x) for x in each])
+        joined = f" {_MARK} ".join(units)
+        # Composed small letters are what the normalizer makes of a text; its blanks are dropped either way.
+        normal = unicodedata.is_normalized("NFC", joined) and joined == joined.lower()
+        ids = np.array((plain if normal else tokenizer).encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(ids == mark[0])
+        return np.delete(ids, cuts), np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+
+    return encode
+
+
+def _cut(texts: pa.Array) -> pa.Array:
+    """The texts with a blank between a small Latin letter or a digit and a stop that follows it, where a pretoken always ends."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    stops = np.flatnonzero(_STOP[data])
+    stops = stops[stops > 0]
+    before = data[stops - 1]
+    latin = (before >= 0x9F) & (before != 0xB7) & (data[np.maximum(stops - 2, 0)] == 0xC3)
+    at = stops[_LETTER[before] | latin]  # a blank at the start of a text that follows another one changes nothing
+    data = np.insert(data, at, 32)
+    offsets = (offsets - offsets[0] + np.searchsorted(at, offsets - offsets[0])).astype(np.int32)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
+def _units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct units of a slice of texts, the place of each occurrence among them, and the number of units of each text.
+    Units are runs without blanks, cut once more before stops. The tokenizer drops white space, so that these are independent,
+    and lower-cases; lower-casing first makes fewer of them. Not where it could change more: some letters' lower case is more than a
+    letter, a small one may join a combining mark that the capital doesn't, and special tokens are known by their case."""
+    texts = pc.fill_null(texts, "")
+    texts = pc.if_else(pc.match_substring_regex(texts, _CASED), texts, pc.utf8_lower(texts))
+    parts = pc.ascii_split_whitespace(_cut(texts))
+    units = parts.flatten().dictionary_encode()
+    return units.dictionary.to_pylist(), units.indices.to_numpy(zero_copy_only=False), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -84,12 +126,12 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = EN
     names = ["start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches):
-        cache = _encoder(vocabulary)
+        cache = UnitCache(_encoder(vocabulary), at_once=4096)
         for batch in batches:
-            for part, texts in text_slices(batch, 1):
-                flat, at = cache.ids([_units(t) for t in texts])
+            for part in slices_of(batch, 1):
+                flat, at = cache.coded(*_units(part.column(1)))
                 row, out = [], []
-                for i in range(len(texts)):
+                for i in range(part.num_rows):
                     ids = np.append(flat[at[i] : at[i + 1]], end).astype("<u4")
                     for s in range(0, len(ids), length):
                         piece = ids[s : s + length]
