@@ -186,7 +186,8 @@ def match(r: Relation, pattern: t.Pattern, events, mode: str, within: float | No
     timed = at is not None
     if within is not None and not timed:
         raise ScriptError("WITHIN needs ORDER BY or a timestamp field")
-    df = df.withColumn("_o", at if timed else F.monotonically_increasing_id())
+    # Without an order rows count as they arrive; a live stream has no numbers for that, but its batches come one by one.
+    df = df.withColumn("_o", at if timed else F.lit(0) if df.isStreaming else F.monotonically_increasing_id())
     moment = isinstance(df.schema["_o"].dataType, (T.TimestampType, T.TimestampNTZType))
     keys = [lower.expr(k).col.alias(f"_k{i}") for i, k in enumerate(by)] or [F.lit(0).alias("_k0")]
     df = df.select("*", *keys)

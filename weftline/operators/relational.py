@@ -453,8 +453,9 @@ def cross(rs: list[Relation], aliases: list[str]) -> Relation:
 
 
 def indexed(r: Relation) -> DataFrame:
-    """The rows with their position, _n. Each partition counts its own; only the counts reach the driver."""
-    part = r.df.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    """The rows with their position, _n. Each partition counts its own; only the counts reach the driver. The rows are kept on
+    disk, so that both passes see the same partitions: a sort that runs again may cut its ranges elsewhere."""
+    part = r.df.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
     counts = {x["_p"]: x["n"] for x in part.groupBy("_p").agg(F.count("*").alias("n")).collect()}
     base, total = {}, 0
     for p in sorted(counts):

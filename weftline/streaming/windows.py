@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.expressions import WINDOW, Relation
-from ..operators.relational import settled
+from ..operators.relational import indexed, settled
 from ..types import ScriptError
 
 
@@ -39,18 +39,18 @@ def window(r: Relation, size: tuple[str, int], slide: tuple[str, int], watermark
         return replace(r, df=df.drop("_t") if not df.isStreaming else df.select(*r.df.columns, WINDOW), window=True)
     if r.df.isStreaming:
         raise ScriptError("windows by count need a bounded input: read it with Replay(...)")
-    at = F.col(f"_{r.schema.timestamp}") if r.schema is not None and r.schema.timestamp is not None else F.monotonically_increasing_id()
     if size[0] == "rows" and slide[0] == "rows":
         n, step = size[1], slide[1]
-        # Positions need one order over all rows; each row then knows its windows.
-        df = r.df.withColumn("_n", F.row_number().over(Window.orderBy(at, *[F.col(c) for c in r.columns if _sortable(r, c)])) - 1)
+        # Without a timestamp rows keep the order that an ORDER or the file gave them.
+        timed = r.schema is not None and r.schema.timestamp is not None
+        df = _numbered(r, r.df, f"_{r.schema.timestamp}") if timed else indexed(r)
         last = F.floor(F.col("_n") / step)
         first = F.greatest(F.lit(0), F.floor((F.col("_n") - n) / step) + 1)
         df = df.withColumn("_i", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
         return replace(r, df=df.withColumn(WINDOW, F.struct(F.col("_i").cast("bigint").alias("start"))).drop("_n", "_i"), window=True)
     if size[0] == "range":
         # A window of time behind every k-th row.
-        df = r.df.withColumn("_t", moment(r)).withColumn("_n", F.row_number().over(Window.orderBy("_t", *[F.col(c) for c in r.columns if _sortable(r, c)])))
+        df = _numbered(r, r.df.withColumn("_t", moment(r)), "_t").withColumn("_n", F.col("_n") + 1)
         ends = df.where(F.col("_n") % slide[1] == 0).select(F.col("_t").alias("_e"), F.col("_n").alias("_m"))
         inside = (F.col("_t") <= F.col("_e")) & (F.col("_t") > F.col("_e") - F.expr(f"INTERVAL {size[1]} SECONDS")) & (F.col("_n") <= F.col("_m"))
         # Time buckets as long as the window bring a row and its possible ends together.
@@ -60,11 +60,16 @@ def window(r: Relation, size: tuple[str, int], slide: tuple[str, int], watermark
         return replace(r, df=df.select(*r.df.columns, F.struct(F.col("_m").alias("start")).alias(WINDOW)), window=True)
     # The last n rows at each turn of the clock.
     df = r.df.withColumn("_t", moment(r)).withColumn("_turn", F.window("_t", f"{slide[1]} seconds"))
-    df = df.withColumn("_n", F.row_number().over(Window.orderBy("_t", *[F.col(c) for c in r.columns if _sortable(r, c)])))
+    df = _numbered(r, df, "_t").withColumn("_n", F.col("_n") + 1)
     turns = df.groupBy("_turn").agg(F.max("_n").alias("_m")).select(F.col("_turn").alias("_end"), "_m", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_m") - size[1] + 1), F.col("_m"))).alias("_n"))
     df = df.drop("_turn").join(turns, "_n")
     return replace(r, df=df.select(*r.df.columns, F.struct(F.col("_m").alias("start")).alias(WINDOW)), window=True)
 
 
+def _numbered(r: Relation, df: DataFrame, at: str) -> DataFrame:
+    """The rows with their position from 0, _n, in the order of a column and then of all others: a sort by ranges, no single task."""
+    return indexed(replace(r, df=df.orderBy(at, *[c for c in r.columns if _sortable(r, c)])))
+
+
 def _sortable(r: Relation, c: str) -> bool:
     return isinstance(r.df.schema[c].dataType, T.AtomicType)
