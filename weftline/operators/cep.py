@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,27 +191,20 @@ def match(r: Relation, pattern: t.Pattern, events, mode: str, within: float | No
     df = df.withColumn("_o", at if timed else F.lit(0) if df.isStreaming else F.monotonically_increasing_id())
     moment = isinstance(df.schema["_o"].dataType, (T.TimestampType, T.TimestampNTZType))
     keys = [lower.expr(k).col.alias(f"_k{i}") for i, k in enumerate(by)] or [F.lit(0).alias("_k0")]
-    df = df.select("*", *keys)
+    seconds = F.unix_micros(F.col("_o").cast("timestamp")) / 1e6 if moment else F.col("_o").cast("double")
+    df = df.select("*", *keys, (seconds if within is not None else F.lit(None).cast("double")).alias("_s"))
     width, plans, key_names = len(names), compiled(pattern), [f"_k{i}" for i in range(len(keys))]
     columns = [f"_{i}" for i in range(width)]
     out_schema = T.StructType([f for f in df.schema if f.name in columns])
+    read = [*columns, *(f"_e{i}" for i in range(len(flags))), "_s"]
 
     def holds(event, row, flagged, matched) -> bool:
         if event in relative:
             return bool(evaluate(relative[event], row, matched, names))
         return flagged[flags.index(event)]
 
-    def feed(pdf: pd.DataFrame, m: Matcher) -> list:
-        # Ties in the order are broken by the rows' own values, so that a rerun gives the same matches.
-        pdf = pdf.sort_values(["_o"], kind="stable") if not timed else pdf.sort_values(["_o", *[c for c in columns if pdf[c].map(lambda v: isinstance(v, (int, float, str, bool)) or v is None).all()]], kind="stable")
-        values = pdf[columns].astype(object).where(pdf[columns].notna(), None)
-        times = (pdf["_o"].astype("int64") / 1e9 if str(pdf["_o"].dtype) == "datetime64[ns]" else pdf["_o"].astype("datetime64[us]").astype("int64") / 1e6) if moment else pdf["_o"]
-        marks = pdf[[f"_e{i}" for i in range(len(flags))]].to_numpy() if flags else [()] * len(pdf)
-        found = []
-        for row, flagged, time in zip(values.itertuples(index=False, name=None), marks, times):
-            for rows in m.push(row, flagged, None if not timed or pd.isna(time) else float(time) if within is not None else None):
-                found += [x for _, x in rows]
-        return found
+    # Ties in the order are broken by the rows' own values, so that a rerun gives the same matches.
+    ties = [c for c in columns if isinstance(df.schema[c].dataType, T.AtomicType)] if timed else []
 
     if r.df.isStreaming:
         # Runs are the state of a key; rows are matched in the order of their micro-batches, and by order within these.
@@ -218,19 +212,36 @@ def match(r: Relation, pattern: t.Pattern, events, mode: str, within: float | No
             m = Matcher(plans, mode, within, holds)
             if state.exists:
                 m.runs, m.count = pickle.loads(state.get[0])
-            found = feed(pd.concat(list(parts), ignore_index=True), m)
+            part = pd.concat(list(parts), ignore_index=True).sort_values(["_o", *ties], kind="stable")[read].astype(object)
+            found = []
+            for row in part.where(part.notna(), None).itertuples(index=False, name=None):
+                for rows in m.push(row[:width], row[width:-1], row[-1]):
+                    found += [x for _, x in rows]
             state.update((pickle.dumps((m.runs, m.count)),))
             yield pd.DataFrame(found, columns=columns)
 
         out = df.groupBy(*key_names).applyInPandasWithState(stateful, out_schema, T.StructType([T.StructField("runs", T.BinaryType())]), "append", "NoTimeout")
-    else:
-
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            m = Matcher(plans, mode, within, holds)
-            found = feed(pdf, m)
-            for rows in m.finish():
-                found += [x for _, x in rows]
-            return pd.DataFrame(found, columns=columns)
-
-        out = df.groupBy(*key_names).applyInPandas(whole, out_schema)
+        return replace(r, df=out, window=False)
+
+    def whole(batches):
+        """Rows of a partition by key and order, read as they come: only open runs are held, however many rows a key has."""
+        m, last, kinds = None, None, None
+        for batch in batches:
+            kinds = kinds or [batch.schema.field(c).type for c in columns]
+            key_rows = zip(*[batch.column(k).to_pylist() for k in key_names])
+            found = []
+            for key, row in zip(key_rows, zip(*[batch.column(c).to_pylist() for c in read])):
+                if m is None or key != last:
+                    found += [x for rows in (m.finish() if m else ()) for _, x in rows]
+                    m, last = Matcher(plans, mode, within, holds), key
+                for rows in m.push(row[:width], row[width:-1], row[-1]):
+                    found += [x for _, x in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)], names=columns)
+        if m is not None:
+            found = [x for rows in m.finish() for _, x in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)], names=columns)
+
+    dealt = df.repartition(*key_names) if by else df.repartition(1)
+    dealt = dealt.sortWithinPartitions(*key_names, F.col("_o").asc_nulls_last(), *ties).select(*key_names, *read)
+    out = dealt.mapInArrow(whole, out_schema)
     return replace(r, df=out, window=False)
