@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import spread, text_slices
 from .units import UnitCache
 
 #: Unicode white space, as the pretokenizer's \s.
@@ -201,5 +201,5 @@ def _mapped(docs: DataFrame, vocabulary: str, key: str, text: str, schema: pa.Sc
                 columns = [part.column(0), *(pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema))]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, *schema.names])
 
-    chosen = docs.select(F.col(key), F.col(text))
+    chosen = spread(docs.select(F.col(key), F.col(text)))
     return chosen.mapInArrow(run, f"`{key}` {chosen.schema[0].dataType.simpleString()}, {ddl}")

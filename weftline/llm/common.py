@@ -30,6 +30,13 @@ def parts_for(df: DataFrame, mb_each: float, least: int = 1) -> int:
     return max(least, math.ceil(size / (mb_each * 1e6)))
 
 
+def spread(df: DataFrame, mb_each: float = 16.0) -> DataFrame:
+    """The rows dealt evenly to all cores where the input is small: a table in one file of few row groups is read by few
+    tasks. Inputs of at least ``mb_each`` MB to a core are taken as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan_bytes(df) < cores * mb_each * 1e6 else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Set here only where the session names none, as in tests."""
     sc = spark.sparkContext

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import spread, text_slices
 from .crf import Crf
 from .labelled_pages import labelled_pages
 
@@ -195,7 +195,7 @@ def texts(pages: list[str], crf: Crf) -> list[str]:
 def extract(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
     """One row per page: the key columns, ``text`` and ``n_chars``."""
     crf = model()
-    chosen = pages.select(*[F.col(k) for k in keys], F.col(html))
+    chosen = spread(pages.select(*[F.col(k) for k in keys], F.col(html)))
 
     def run(batches):
         for batch in batches:

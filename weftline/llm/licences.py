@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread, written
 
 #: Short notices by licence: what headers and licence files say of themselves.
 TEMPLATES = {
@@ -55,7 +55,7 @@ def scan(files: DataFrame, path: Column | str, key: str = "doc_id", text: str =
     spark = files.sparkSession
     path = F.col(path) if isinstance(path, str) else path
     # Rows are told apart by a number of their own, so that repeated keys and paths don't mix.
-    base = files.select(F.col(key).alias("key"), path.alias("path"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    base = spread(files.select(F.col(key).alias("key"), path.alias("path"), F.coalesce(F.col(text), F.lit("")).alias("t")))
     named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME), F.lit(False))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(CUE))
     base = base.select("key", "path", named.alias("named"), F.when(named, F.array("t")).otherwise(lines).alias("units"), F.length(F.btrim("t", F.lit(" \t\n\r"))).alias("size"))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for, slices_of
+from .common import parts_for, slices_of, spread
 from .units import UnitCache
 
 LENGTH = 4096
@@ -140,7 +140,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = EN
                 columns = np.array(out, np.int64).T
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *(pa.array(c) for c in columns)], names=[key, *names])
 
-    chosen = docs.select(F.col(key), F.col(text))
+    chosen = spread(docs.select(F.col(key), F.col(text)))
     return chosen.mapInArrow(run, f"`{key}` {chosen.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names))
 
 

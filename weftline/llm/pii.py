@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import spread, text_slices
 from .crf import Crf
 
 KINDS = ("email", "ip", "card", "phone")
@@ -266,7 +266,7 @@ def _mapped(docs: DataFrame, ddl: str, result, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(result(part, find(texts, crf), texts), names=names)
 
     before = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.mapInArrow(run, ", ".join(x for x in (before, ddl) if x))
+    return spread(docs).mapInArrow(run, ", ".join(x for x in (before, ddl) if x))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, written
+from .common import SEPARATORS, spread, written
 
 SYMBOLS = "#*$%&|<>"
 #: Function words by language; the last entry serves texts of any other language.
@@ -49,7 +49,8 @@ def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str |
     """One row per document: the counts and both histograms; with ``carry`` also ``_row``, all of its columns."""
     language = F.lit("") if lang is None else F.when(F.col(lang).isin(*[x for x in COMMON if x]), F.col(lang)).otherwise("")
     own = [F.struct("*").alias("_row")] if carry else []
-    df = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"), language.alias("_lang"), *own)
+    df = spread(docs if carry else docs.select(key, text, *([lang] if lang else [])))
+    df = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"), language.alias("_lang"), *own)
     df = df.select("*", F.btrim("_t", F.lit(SEPARATORS)).alias("_trim"))
     df = df.select("*", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", r"[ \t-\r]+")).alias("_w"), _without(F.col("_t"), SEPARATORS).alias("_dense"))
     df = df.select("*", F.size("_w").cast("bigint").alias("n_words"), F.length(F.bin(F.size("_w"))).alias("_bits"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, written
+from .common import spread, text_slices, written
 from .components import UnionFind, components
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
                 fps = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=[key, "fp"])
 
-    chosen = docs.select(F.col(key), F.col(text))
+    chosen = spread(docs.select(F.col(key), F.col(text)))
     return chosen.mapInArrow(run, f"`{key}` {chosen.schema[0].dataType.simpleString()}, fp bigint")
 
 
