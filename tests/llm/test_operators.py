@@ -375,6 +375,39 @@ def test_licence_cosine_by_hand(spark):
         assert abs(got[i].cosine - best[0]) < 1e-8
 
 
+def test_whole_licences_and_cut_notices(spark):
+    from pathlib import Path
+
+    folder = Path(licences.__file__).parent / "licence_texts"
+    rows, want = [], {}
+
+    def add(path, text, licence):
+        rows.append((len(rows), path, text))
+        want[len(rows) - 1] = licence
+
+    for f in sorted(folder.iterdir()):
+        name = f.name.removesuffix(".txt")
+        text = f.read_text()
+        add(f"{name}/LICENSE", "Copyright (c) 2011 Ann Example <ann@example.org> and others\n\n" + text, name)
+        add(f"{name}/main.c", "int x;", name)
+        add(f"as/{name}/other.txt", "\n".join(" * " + x for x in text.split("\n")), name)
+        add(f"one/{name}/COPYING.md", " ".join(text.split()), name)
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version.".split("\n")
+    add("h/a.c", "/*\n" + "\n".join(" * " + x.format(3) for x in gpl) + "\n */\n" + prose(3, 400), "GPL-3.0")
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a\ncopy of this software and associated documentation files (the \"Software\"),\nto deal in the Software without restriction, including without limitation"
+    add("h/b.c", "// Copyright 2020 Foo Inc. All rights reserved.\n" + "\n".join("// " + x for x in mit.split("\n")) + "\n" + prose(4, 400), "MIT")
+    add("h/c.md", prose(5, 200) + " Released under the MIT License. " + prose(6, 200), "MIT")
+    add("h/d.md", "Parsekit " + prose(5, 60) + " and is licensed under the Apache License, Version 2.0; see there. " + prose(6, 60), "Apache-2.0")
+    add("h/e.c", "See the License for the specific language governing permissions\n" + prose(7, 100), None)
+    add("k/a.txt", "the license\n" + "wordy " * 50_000 + "\n" + "a-" * 50_000, None)
+    # Many other units, which must not lower the cosine of any file.
+    for i in range(3000):
+        rows.append((len(rows), f"z{i}/f", f"Licensed under terms {i} of vendor{i} {prose(i, 5)}"))
+    got = collected(licences.scan(spark.createDataFrame(rows, "doc_id bigint, p string, text string"), "p"))
+    assert {i: got[i].licence for i in want} == want
+    assert all(got[i].is_licence_file for i in want if "LICENSE" in rows[i][1] or "other.txt" in rows[i][1])
+
+
 def test_pii(docs, none, rows):
     got = collected(pii.scan(docs))
     text = rows[13][1]

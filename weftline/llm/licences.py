@@ -1,13 +1,17 @@
 """Licence scan by TF-IDF cosine to templates and inheritance along paths (operator 1), in DataFrame functions alone.
 
-Units are lines that speak of licences, anywhere in a text, and the whole of a file whose name says that it is a licence.
-Their words are weighed by TF-IDF, the document frequencies coming from all units of the table and the templates, and each unit
-takes the template of largest cosine, if it reaches the threshold. A file's own licence is that of its best unit.
+Two kinds of units are weighed. Notices: lines that speak of licences, anywhere in a text, the whole of a file whose name says that
+it is a licence, and what is cut out of lines and of blocks (such lines with the two after each, joined where they touch): runs
+of words that notices use, between sentence ends, or with up to ``GAP`` other words left out between two of them. Their document frequencies come from all
+notice units of the table and ``TEMPLATES``; each takes the template of largest cosine, if it reaches the threshold, which is higher for cuts.
+Whole texts: of files named so, of those whose licence lines make up ``TEXT_SHARE`` of them or that have ``TEXT_START``, without their copyright lines. They are
+held against whole licences (``licence_texts``), with frequencies of those alone, so that no cosine depends on the size of the table.
+A file's own licence is that of its whole text, else that of its best notice; a reservation of rights counts where nothing is granted.
 A file whose name says so, or that hardly holds anything but a licence, is its directory's licence; a directory with
 several takes the commonest. A file without a licence of its own inherits that of its nearest ancestor directory.
 
-Only units are exploded into words, never whole texts. Directories are resolved once each, by a join of their ancestors' paths,
-so that a directory with very many files costs one row there.
+Only units are exploded into words, and whole texts only of the files above. Directories are resolved once each, by a join of their
+ancestors' paths, so that a directory with very many files costs one row there.
 
 Defined results: a null or empty text has no licence of its own; a null path has no directory and inherits nothing.
 Ties go to the earlier unit and to the licence first in alphabetical order. Repeated rows are scanned alike.
@@ -15,6 +19,9 @@ Ties go to the earlier unit and to the licence first in alphabetical order. Repe
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files as resources
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,16 +47,65 @@ TEMPLATES = {
 }
 CUE = r"(?i)licen[cs]|copyright|spdx|permission is|redistribut|public domain|unencumbered|rights reserved|proprietary|compliance with"
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
-WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*+"
 MIN_COSINE = 0.6
 #: A text whose licence lines hold this share of its characters is a licence file whatever its name.
 FILE_SHARE = 0.5
+#: What is cut out of lines and blocks has no other words to lower its cosine, so it must be nearer.
+CUT_COSINE, GAP = 0.8, 3
+#: Texts are compared whole from this share of characters in licence lines on; those in ``licence_texts`` have 0.16 and more.
+#: MIT files with other holders (123 from crates) lay at 0.92 and above.
+TEXT_SHARE, TEXT_COSINE = 0.1, 0.9
+#: 0BSD has hardly a line that a cue finds, so texts that begin like it are compared as well.
+TEXT_START = r"(?is)^.{0,500}permission to use,\W+copy"
+COPYRIGHT_LINE = r"(?im)^[^\w\n]*copyright\b[^\n]{0,100}\d{4}[^\n]{0,100}$"
+#: AGPL-3.0 is GPL-3.0 under another name and with this in section 13. Made here, as its file was not at hand.
+AFFERO = "if you modify the program your modified version must prominently offer all users interacting with it remotely through a computer network an opportunity to receive the corresponding source of your version by providing access to the corresponding source from a network server at no charge "
 
 
 def _words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"({WORD})"), F.lit(1))
 
 
+def _texts() -> dict[str, str]:
+    """Whole licences by name."""
+    folder = resources(__package__) / "licence_texts"
+    found = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+    found["AGPL-3.0"] = re.sub(r"(?i)gnu general public", "GNU Affero General Public", found["GPL-3.0"]) + AFFERO
+    return {name: " ".join(re.findall(WORD, re.sub(COPYRIGHT_LINE, "", text).lower())) for name, text in sorted(found.items())}
+
+
+def _cuts(lines: Column, cues: Column) -> Column:
+    """Notices cut out of the lines with cues and the two after each, as strings of words."""
+    vocabulary = sorted({w for notices in TEMPLATES.values() for notice in notices for w in notice.split()})
+    near = lambda i: F.coalesce(F.get(cues, i), F.lit(False)) | F.coalesce(F.get(cues, i - 1), F.lit(False)) | F.coalesce(F.get(cues, i - 2), F.lit(False))
+    joined = F.array_join(F.transform(lines, lambda x, i: F.when(near(i), F.replace(F.lower(x), F.lit("|"), F.lit(" "))).otherwise("|")), "\n")
+    blocks = F.filter(F.split(joined, r"\n*\|[|\n]*"), lambda b: b.rlike(CUE))
+    # Other words become bars and sentence ends slashes, which no word holds.
+    marked = F.transform(blocks, lambda b: F.array_join(F.transform(F.regexp_extract_all(F.regexp_replace(b, r"/|[.;:!?](?=\s|$)", " / ").alias("b"), F.lit(f"({WORD}|(?<= )/(?= ))"), F.lit(1)), lambda w: F.when(F.array_contains(F.array(*map(F.lit, [*vocabulary, "/"])), w), w).otherwise("|")), " "))
+    runs = F.flatten(F.transform(marked, lambda m: F.concat(F.split(m, r" *[|/][ |/]*"), F.split(F.regexp_replace(m, "/ ?", ""), r" *\|(?: \|){%d}[ |]*" % GAP))))
+    return F.filter(F.transform(runs, lambda r: F.btrim(F.regexp_replace(r, r"[ |]+", " "))), lambda r: r.rlike(CUE))
+
+
+def _whole(base: DataFrame) -> DataFrame:
+    """``row``, ``text_licence`` and ``text_cosine`` of the whole texts near a whole licence."""
+    spark = base.sparkSession
+    texts = _texts()
+    table = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(texts.values())) + " AS t(licence, words)")
+    tf = table.select("licence", F.explode(F.split("words", " ")).alias("word")).groupBy("licence", "word").agg(F.count("*").alias("tf"))
+    idf = tf.groupBy("word").agg((F.log(F.lit(len(texts) + 1.0)) - F.log(F.count("*") + 1.0) + 1.0).alias("idf"))
+    weighed = tf.join(F.broadcast(idf), "word").withColumn("tw", F.col("tf") * F.col("idf"))
+    norms = weighed.groupBy("licence").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
+    # One row for each word of the licences, with its share in each of them.
+    sides = weighed.join(F.broadcast(norms), "licence").groupBy("word").agg(F.first("idf").alias("idf"), *[F.sum(F.when(F.col("licence") == i, F.col("tw") / F.col("tn")).otherwise(0.0)).alias(f"s{i}") for i in range(len(texts))])
+    rare = F.log(F.lit(len(texts) + 1.0)) - F.log(F.lit(2.0)) + 1.0
+    words = base.where("full IS NOT NULL").select("row", "full").dropDuplicates(["row"]).select("row", F.explode(_words(F.regexp_replace("full", COPYRIGHT_LINE, ""))).alias("word"))
+    words = words.groupBy("row", "word").agg(F.count("*").alias("tf")).join(F.broadcast(sides), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare))
+    dots = words.groupBy("row").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("un"), *[F.coalesce(F.sum(F.col("w") * F.col(f"s{i}")), F.lit(0.0)).alias(f"d{i}") for i in range(len(texts))])
+    near = F.array_min(F.array(*[F.struct((-F.round(F.col(f"d{i}") / F.col("un"), 9)).alias("c"), F.lit(name).alias("licence")) for i, name in enumerate(texts)]))
+    return dots.select("row", near.alias("b")).select("row", F.col("b.licence").alias("text_licence"), (-F.col("b.c")).alias("text_cosine")).where(F.col("text_cosine") >= TEXT_COSINE)
+
+
 def scan(files: DataFrame, path: Column | str, key: str = "doc_id", text: str = "text", min_cosine: float = MIN_COSINE) -> DataFrame:
     """One row per file: ``path``, ``own_licence`` with its ``cosine``, ``licence`` (own or inherited) and ``inherited_from``."""
     spark = files.sparkSession
@@ -57,13 +113,20 @@ def scan(files: DataFrame, path: Column | str, key: str = "doc_id", text: str =
     # Rows are told apart by a number of their own, so that repeated keys and paths don't mix.
     base = spread(files.select(F.col(key).alias("key"), path.alias("path"), F.coalesce(F.col(text), F.lit("")).alias("t")))
     named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME), F.lit(False))
-    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(CUE))
-    base = base.select("key", "path", named.alias("named"), F.when(named, F.array("t")).otherwise(lines).alias("units"), F.length(F.btrim("t", F.lit(" \t\n\r"))).alias("size"))
-    base = base.select(F.xxhash64("key", "path", "units", "size").alias("row"), "key", "path", "named", "units", (~F.col("named") & (F.aggregate("units", F.lit(0), lambda a, x: a + F.length(x)) >= FILE_SHARE * F.col("size")) & (F.size("units") > 0)).alias("whole"))
+    base = base.select("key", "path", "t", named.alias("named"), F.split("t", "\n").alias("lines"), F.length(F.btrim("t", F.lit(" \t\n\r"))).alias("size"))
+    base = base.select("*", F.when(F.col("t").rlike(CUE), F.transform("lines", lambda x: x.rlike(CUE))).alias("cues"))
+    cued = F.when(F.col("cues").isNull(), F.array().cast("array<string>")).otherwise(F.filter("lines", lambda x, i: F.get("cues", i)))
+    base = base.select("*", cued.alias("cued"))
+    base = base.select("*", F.aggregate("cued", F.lit(0), lambda a, x: a + F.length(x)).alias("cued_size"))
+    units = F.when(F.col("named"), F.array("t")).otherwise(F.array().cast("array<string>"))
+    base = base.select("*", F.transform(F.concat(units, F.when(F.col("named") & (F.size("lines") == 1), F.array().cast("array<string>")).otherwise(F.col("cued"))), lambda x: F.array_join(_words(x), " ")).alias("uncut"))
+    cuts = F.when(F.size("cued") > 0, _cuts(F.col("lines"), F.col("cues"))).otherwise(F.array().cast("array<string>"))
+    base = base.select("*", F.concat("uncut", F.array_except(cuts, F.col("uncut"))).alias("units"), F.size("uncut").alias("n_uncut"), F.when(F.col("named") | F.col("t").rlike(TEXT_START) | (F.size("cued") > 0) & (F.col("cued_size") >= TEXT_SHARE * F.col("size")), F.col("t")).alias("full"))
+    base = base.select(F.xxhash64("key", "path", "units", "size", "full").alias("row"), "key", "path", "named", "units", "n_uncut", "full", "size", (~F.col("named") & (F.col("cued_size") >= FILE_SHARE * F.col("size")) & (F.size("cued") > 0)).alias("whole"))
     base = written(base)
     # Equal rows give equal units: each distinct one is weighed once.
-    units = base.where(F.size("units") > 0).select("row", "units").dropDuplicates(["row"]).select("row", F.posexplode("units").alias("unit", "line"))
-    tf = units.select("row", "unit", F.explode(_words(F.col("line"))).alias("word")).groupBy("row", "unit", "word").agg(F.count("*").alias("tf"))
+    units = base.where(F.size("units") > 0).select("row", "units", "n_uncut").dropDuplicates(["row"]).select("row", "n_uncut", F.posexplode("units").alias("unit", "line"))
+    tf = units.select("row", "unit", (F.col("unit") >= F.col("n_uncut")).alias("cut"), F.explode(_words(F.col("line"))).alias("word")).groupBy("row", "unit", "cut", "word").agg(F.count("*").alias("tf"))
     tf = written(tf)
     rows = [(name, i, w) for name, notices in TEMPLATES.items() for i, notice in enumerate(notices) for w in notice.split()]
     template_tf = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{a}', {i}, '{w}')" for a, i, w in rows) + " AS t(licence, notice, word)").groupBy("licence", "notice", "word").agg(F.count("*").alias("tf"))
@@ -78,11 +141,14 @@ def scan(files: DataFrame, path: Column | str, key: str = "doc_id", text: str =
     norms = weighed.groupBy("licence", "notice").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
     sides = weighed.join(F.broadcast(norms), ["licence", "notice"]).groupBy("word").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("licence", "notice", (F.col("tw") / F.col("tn")).alias("tw"))).alias("sides"))
     unit_words = tf.join(F.broadcast(sides), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare))
-    length = unit_words.groupBy("row", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("un"))
+    length = unit_words.groupBy("row", "unit", "cut").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("un"))
     dots = unit_words.where("sides IS NOT NULL").select("row", "unit", "w", F.explode("sides").alias("s")).groupBy("row", "unit", "s.licence", "s.notice").agg(F.sum(F.col("w") * F.col("s.tw")).alias("dot"))
-    scored = dots.join(length, ["row", "unit"]).withColumn("cosine", F.round(F.col("dot") / F.col("un"), 9)).where(F.col("cosine") >= min_cosine)
-    best = scored.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "unit", "licence")).alias("b")).select("row", F.col("b.licence").alias("own_licence"), (-F.col("b.c")).alias("cosine"))
-    own = base.select("row", "key", "path", "named", "whole").join(best, "row", "left").withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    scored = dots.join(length, ["row", "unit"]).withColumn("cosine", F.round(F.col("dot") / F.col("un"), 9)).where(F.col("cosine") >= F.when(F.col("cut"), max(min_cosine, CUT_COSINE)).otherwise(min_cosine))
+    best = scored.groupBy("row").agg(F.min(F.struct((F.col("licence") == "Proprietary").alias("reserved"), (-F.col("cosine")).alias("c"), "unit", "licence", "cut")).alias("b")).select("row", F.col("b.licence").alias("notice_licence"), (-F.col("b.c")).alias("notice_cosine"), F.col("b.cut").alias("cut"), F.col("b.unit").alias("best_unit"))
+    own = base.select("row", "key", "path", "named", "whole", "size", "units").join(best, "row", "left").join(written(_whole(base)), "row", "left")
+    # A notice cut out of a long line makes a licence file only if it is that long itself.
+    whole = F.col("whole") & (~F.coalesce("cut", F.lit(False)) | (F.length(F.get("units", "best_unit")) >= FILE_SHARE * F.col("size")))
+    own = own.select("key", "path", "named", (whole | F.col("text_licence").isNotNull()).alias("whole"), F.coalesce("text_licence", "notice_licence").alias("own_licence"), F.coalesce("text_cosine", "notice_cosine").alias("cosine")).withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
     stated = own.where("own_licence IS NOT NULL AND (named OR whole) AND dir IS NOT NULL").groupBy("dir", "own_licence").count()
     stated = stated.groupBy("dir").agg(F.min(F.struct((-F.col("count")).alias("c"), "own_licence")).alias("b")).select("dir", F.col("b.own_licence").alias("dir_licence"))
     dirs = own.where("dir IS NOT NULL").select("dir").distinct()
