@@ -456,6 +456,24 @@ def test_html_edges(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def test_html_goes_on_after_ignored_elements():
+    main = "<article><h1>A title</h1><p>First of the text.</p><p>Second of the text.</p></article>"
+    want = ["A title", "First of the text.", "Second of the text."]
+    for before in (
+        '<svg viewBox="0 0 1 1"/>', '<div><svg class="i" /></div>', "<math/>", "<div><select><option>a<option>b</div>", "<select><option>a<option>b", "<object data=x>", "<div><object data=x></div>",
+        "<svg><path d='M0'>", "<svg><g><svg><text>in</text></svg><text>out</text></g></svg>", "<object data=a><object data=b>in</object>out</object>", "<div><select><div><option>a</div></select></div>", "<template><p>t<template>u</template>v</template>",
+        "<svg><foreignObject><p>no</p></foreignObject></svg>", "<svg><script href=x /><title>t</title></svg>", "<noscript><p>no</p></noscript>", "<template>", "<noscript>", "<select/>",
+    ):
+        for after in ("", "<svg><text>x</text></svg>", "<div><select><option>a</select></div>", "</select></svg></math>"):
+            got = [b.text for b in html.blocks(f"<html><body>{before}{main}{after}</body></html>")]
+            assert got == want, (before, after)
+    # Text in divisions alone, behind a select, a noscript and an object without ends.
+    for before in ("<select><option>a", "<div><noscript>", "<object>"):
+        assert [b.text for b in html.blocks(f"<body>{before}<div>The text.</div></div></body><div><object>o</object><select><option>b</select></div>")] == ["The text."]
+    assert [b.text for b in html.blocks("<p>One <svg><text>x</text></svg>two <noscript><p>no</p></noscript>three")] == ["One two three"]
+    assert html.blocks("<p>a<script/>b") != [] and [b.text for b in html.blocks("<p>a<script>b")] == ["a"]
+
+
 def test_html_on_the_tables_template():
     import pyarrow.parquet as pq
     from html import unescape

@@ -6,12 +6,14 @@ ancestors' tags, classes and ids, and by its text: length, links, stops, digits,
 labelled pages, marks each block as main text or not, and Viterbi picks the likeliest sequence for the page.
 
 Defined results: null, empty or text-free pages have the empty text. Scripts, styles, comments and the document head are
-markup, never blocks. A page without main text gives the empty text. Repeated rows are handled alike.
+markup, never blocks; a script, style, title or text area without an end tag runs to the end of the page. What is inside svg, math, object,
+select, template and noscript is dropped up to where HTML ends them; one without an end drops nothing. A page without main text gives the empty text. Repeated rows are handled alike.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 
@@ -26,7 +28,14 @@ from .labelled_pages import labelled_pages
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
-RAW = frozenset("script style noscript template iframe textarea title svg math object xmp noembed noframes select".split())
+#: Their content is text up to their own end tag, or to the end of the page.
+RAW = frozenset("script style iframe textarea title xmp noembed noframes".split())
+#: Elements whose content is markup, and no block: dropped while they are open.
+IGNORED = frozenset("noscript template svg math object select".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Elements of svg and math whose content is ordinary markup, and elements whose inside an outer end tag doesn't reach.
+_HTML_AGAIN = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+_WALLS = frozenset(("object", "template"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption button label".split()
@@ -34,6 +43,10 @@ BLOCK = frozenset(
 #: Start tags that end an open element, and the elements that such an end doesn't reach through.
 _ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt", "option", "optgroup", "legend", "button", "label", "summary", "figcaption"}
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
+#: Start tags that end an open svg or math, or an open select.
+_ENDS_FOREIGN = BLOCK | frozenset("b big br code em embed i img listing nobr ruby s small span strong strike sub sup tt u var".split())
+_MAYBE_SELECT = frozenset(("div", "button", "legend"))
+_ENDS_SELECT = BLOCK - _MAYBE_SELECT - {"option", "optgroup", "hr"}
 
 
 class Block:
@@ -52,6 +65,59 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def _raw_end(tag: str, html: str, at: int) -> int:
+    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+    return end.end() if end else len(html)
+
+
+def _ignored(html: str) -> dict[int, int]:
+    """Where the page goes on after each ignored element, by the end of its start tag: behind its own end tag, whatever the nesting;
+    for svg, math and select else before the tag that ends them. Any other isn't there, so that it can't take the page along."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
+    #: Where a select that has no end tag of its own ends at the latest: before the first of these, which it may hold otherwise.
+    unsure: dict[int, int] = {}
+    at = 0
+
+    def leave(k: int, to: int) -> None:
+        for tag, start in stack[k:]:
+            opened[tag] -= 1
+            if tag in FOREIGN or tag == "select":
+                ends[start] = min(to, unsure.get(start, to))
+        del stack[k:]
+
+    while m := _MARK.search(html, at):
+        at = m.end()
+        if not m[2]:
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag and stack[k][0] not in _WALLS:
+                    k -= 1
+                if stack[k][0] == tag:
+                    own = stack[k][1]
+                    leave(k, m.start())
+                    if tag in IGNORED:
+                        ends[own] = at
+            continue
+        inner = next((t for t, _ in reversed(stack) if t in IGNORED or t in _HTML_AGAIN), "") if any(opened[t] for t in IGNORED) else ""
+        if (inner in FOREIGN and tag in _ENDS_FOREIGN) or (inner == "select" and (tag in _ENDS_SELECT or tag == "select")):
+            leave(max(i for i, (t, _) in enumerate(stack) if t == inner), m.start())
+        elif inner == "select" and tag in _MAYBE_SELECT:
+            unsure.setdefault(next(start for t, start in reversed(stack) if t == inner), m.start())
+        closed = m[3].endswith("/")
+        if tag in RAW:
+            if not (closed and inner in FOREIGN):
+                at = _raw_end(tag, html, at)
+        elif tag not in VOID and (not closed or tag in IGNORED - FOREIGN):
+            stack.append((tag, at))
+            opened[tag] += 1
+    return ends
+
+
 def blocks(html: str) -> list[Block]:
     """The page's leaf blocks in order. ``path`` holds the ancestors' tags, each followed by its dotted class and id words."""
     out: list[Block] = []
@@ -59,6 +125,7 @@ def blocks(html: str) -> list[Block]:
     text: list[str] = []
     linked = links = 0
     at, n = 0, len(html)
+    ends: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -105,9 +172,16 @@ def blocks(html: str) -> list[Block]:
                 flush()
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
+            at = _raw_end(tag, html, at)
             continue
+        if tag in IGNORED:
+            if tag in FOREIGN and m[3].endswith("/"):
+                continue
+            if ends is None:
+                ends = _ignored(html)
+            if at in ends:
+                at = ends[at]
+                continue
         if tag in VOID:
             if tag == "hr":
                 flush()
