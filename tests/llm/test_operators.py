@@ -215,6 +215,21 @@ def test_bpe_like_the_library(text):
     assert codec.decode(ids) == text
 
 
+@pytest.fixture(scope="module")
+def byte_bpe():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.codec(path), Tokenizer.from_file(path)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab E\n\t'sté1½🙂　.,\x1c\x85\xa0हि̈st<|>_\r\u200b'vRLdmCjK") | st.characters(codec="utf-8"), max_size=80))
+def test_bpe_ids_of_every_text_like_the_library(byte_bpe, text):
+    codec, library = byte_bpe
+    ids = codec.encode_batch([text])[0]
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert codec.decode(ids) == text
+
+
 def brute_fingerprint(text):
     w = WORD.findall((text or "").translate({i: i + 32 for i in range(65, 91)}))
     if not w:
