@@ -5,7 +5,9 @@ on a small labelled table that this module writes itself, and decoded by Viterbi
 the surroundings of each token that holds a digit or an at sign or spells one out; every other token is outside by definition.
 What it finds is added if it is well-formed for its kind and touches no pattern's span.
 
-Defined results: a null or empty text has no spans. Spans count code points, their end is exclusive.
+Defined results: a null or empty text has no spans. Spans count code points, their end is exclusive. Number parts of any
+length are judged by their value. Where numbers stand so close that their surroundings never part, the CRF reads overlapping stretches
+of about ``_LONGEST`` characters; a span that two of them find is one. Repeated rows, and rows without an id, are scanned alike.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,14 +29,21 @@ from .crf import Crf
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: A number is entered at its first digit alone and never given back, which finds the same spans in linear time.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 Span = tuple[int, int, int]
 
 
+def _part(digits: str) -> bool:
+    """Whether a number, however many zeros it begins with, is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -61,7 +72,7 @@ def _emails(text: str) -> Iterable[tuple[int, int]]:
 def base_spans(text: str) -> list[Span]:
     """Spans of the four patterns as (kind number, start, end)."""
     found: list[Span] = [(0, a, b) for a, b in _emails(text)] if "@" in text else []
-    found += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(1, *m.span()) for m in _IP.finditer(text) if all(map(_part, m[0].split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
             found.append((2, *m.span()))
@@ -74,6 +85,8 @@ _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 _TRIGGER = re.compile(r"\d+|@|[(\[{] ?(?:at|AT) ?[)\]}]|\b[Dd]ot\b|\bDOT\b")
 _CUES = frozenset("phone tel telephone call mobile cell fax whatsapp mail email e contact card visa mastercard amex credit debit ip host address server at dot com org net de fr es io edu example version page chapter section year id order invoice license licence token password key no nr number".split())
 _REACH = 36
+#: Characters of a window that grows no further, and tokens that are described and decoded at once.
+_LONGEST, _AT_ONCE = 4000, 60_000
 
 
 def _shape(token: str) -> str:
@@ -189,19 +202,37 @@ def model() -> Crf:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """The surroundings of tokens that may belong to personal data, merged where they meet, cut at blanks."""
+    """The surroundings of tokens that may belong to personal data, cut at blanks where one is near and merged where they meet. One
+    that has grown to ``_LONGEST`` is closed; the next begins with its own surroundings, so it overlaps the one before."""
     out: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = m.start() - _REACH, m.end() + _REACH
-        a = 0 if a <= 0 else max(text.rfind(" ", 0, a), text.rfind("\n", 0, a)) + 1 if m.start() - a < 2 * _REACH else a
+        a = 0 if a <= 0 else e + 1 if (e := max(text.rfind(" ", a - _REACH if a > _REACH else 0, a), text.rfind("\n", a - _REACH if a > _REACH else 0, a))) >= 0 else a
         b = len(text) if b >= len(text) else (e if 0 <= (e := text.find(" ", b, b + _REACH)) else b)
-        if out and a <= out[-1][1]:
+        if out and a <= out[-1][1] and out[-1][1] - out[-1][0] < _LONGEST:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))
     return out
 
 
+class _Taken:
+    """Spans of a text for questions about ranges, each answered by one bisection."""
+
+    def __init__(self, spans: Iterable[Span]):
+        pairs = sorted((a, b) for _, a, b in spans)
+        self.starts, self.ends = [a for a, _ in pairs], list(accumulate((b for _, b in pairs), max))
+
+    def holds(self, a: int, b: int) -> bool:
+        """Whether a single span or overlapping ones reach over the range."""
+        i = bisect_right(self.starts, a)
+        return i > 0 and self.ends[i - 1] >= b
+
+    def touches(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i > 0 and self.ends[i - 1] > a
+
+
 def _sound(kind: int, found: str) -> bool:
     digits = sum(c.isdigit() for c in found)
     if kind == 0:
@@ -212,33 +243,44 @@ def _sound(kind: int, found: str) -> bool:
 
 
 def find(texts: list[str], crf: Crf) -> list[tuple[list[Span], list[Span]]]:
-    """For each text, the patterns' spans and the spans that the CRF adds."""
+    """For each text, the patterns' spans and the spans that the CRF adds. At most about ``_AT_ONCE`` tokens have features at a time."""
     base = [base_spans(t) for t in texts]
-    where, sequences = [], []
+    taken = [_Taken(spans) for spans in base]
+    added: list[dict[Span, None]] = [{} for _ in texts]
+    where, sequences, waiting = [], [], 0
+
+    def decode() -> None:
+        for (k, tokens, starts), labels in zip(where, crf.decode(sequences)):
+            i = 0
+            while i < len(labels):
+                if labels[i] == "O":
+                    i += 1
+                    continue
+                kind, j = labels[i][2:], i + 1
+                while j < len(labels) and labels[j] == f"I-{kind}":
+                    j += 1
+                span = (KINDS.index(kind), starts[i], starts[j - 1] + len(tokens[j - 1]))
+                if _sound(span[0], texts[k][span[1] : span[2]]) and not taken[k].touches(span[1], span[2]):
+                    added[k][span] = None
+                i = j
+        where.clear()
+        sequences.clear()
+
     for k, text in enumerate(texts):
         for a, b in windows(text):
             # A window whose every number lies in a pattern's span has nothing to add.
-            if all(any(s <= m.start() and m.end() <= e for _, s, e in base[k]) for m in _TRIGGER.finditer(text, a, b)) if base[k] else False:
+            if base[k] and all(taken[k].holds(*m.span()) for m in _TRIGGER.finditer(text, a, b)):
                 continue
             tokens, starts, gaps = _tokens(text, a, b)
             if tokens:
                 where.append((k, tokens, starts))
                 sequences.append(features(tokens, gaps))
-    added: list[list[Span]] = [[] for _ in texts]
-    for (k, tokens, starts), labels in zip(where, crf.decode(sequences)):
-        i = 0
-        while i < len(labels):
-            if labels[i] == "O":
-                i += 1
-                continue
-            kind, j = labels[i][2:], i + 1
-            while j < len(labels) and labels[j] == f"I-{kind}":
-                j += 1
-            span = (KINDS.index(kind), starts[i], starts[j - 1] + len(tokens[j - 1]))
-            if _sound(span[0], texts[k][span[1] : span[2]]) and not any(s < span[2] and span[1] < e for _, s, e in base[k]):
-                added[k].append(span)
-            i = j
-    return list(zip(base, added))
+                waiting += len(tokens)
+                if waiting >= _AT_ONCE:
+                    decode()
+                    waiting = 0
+    decode()
+    return [(b, list(more)) for b, more in zip(base, added)]
 
 
 def listed(spans: Iterable[Span]) -> str:
