@@ -5,7 +5,7 @@ groups at random (by a seeded hash of document and start), and each group is pac
 decreasing. A tournament tree over the bins' remaining capacities finds the first bin that holds a piece in
 logarithmic time. The number of groups follows the input, so no group grows with it.
 
-Defined results: a null or empty text is the end token alone. Repeated rows are packed as often as they occur. An empty table gives no rows.
+Defined results: a null or empty text is the end token alone. A null id stays null, sorts last, and leaves other ids as they are. Repeated rows are packed as often as they occur. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -152,12 +151,12 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END,
         raise ValueError("sequence numbers hold 31 bits of group and 32 of bin")
     cut = cut.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("start")), F.lit(groups)))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        # Order within a group fixes the result, whatever order the exchange brought.
-        group = group.sort_values([key, "start", "ids_crc32"], kind="stable", ignore_index=True)
-        bins, offsets = first_fit_decreasing(group["length"].to_numpy(), length)
-        group["sequence_id"], group["offset"] = group["_group"].to_numpy() * (1 << 32) + bins, offsets
-        return group.drop(columns="_group")
+    def run(group: pa.Table) -> pa.Table:
+        # Order within a group fixes the result, whatever order the exchange brought; Arrow keeps ids as they are beside nulls.
+        group = group.take(pc.sort_indices(group, [(c, "ascending") for c in (key, "start", "ids_crc32")]))
+        bins, offsets = first_fit_decreasing(group.column("length").to_numpy(), length)
+        sequences = group.column("_group").to_numpy() * (1 << 32) + bins
+        return group.drop_columns(["_group"]).append_column("sequence_id", pa.array(sequences, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name != "_group")
-    return cut.groupBy("_group").applyInPandas(run, f"{ddl}, sequence_id bigint, offset bigint")
+    return cut.groupBy("_group").applyInArrow(run, f"{ddl}, sequence_id bigint, offset bigint")
