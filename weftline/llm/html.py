@@ -7,7 +7,8 @@ labelled pages, marks each block as main text or not, and Viterbi picks the like
 
 Defined results: null, empty or text-free pages have the empty text. Scripts, styles, comments and the document head are
 markup, never blocks; a script, style, title or text area without an end tag runs to the end of the page. What is inside svg, math, object,
-select, template and noscript is dropped up to where HTML ends them; one without an end drops nothing. A page without main text gives the empty text. Repeated rows are handled alike.
+select, template and noscript is dropped up to where HTML ends them; one without an end drops nothing. A < without any > behind it is text.
+Elements deeper than ``DEPTH`` keep their text, as parts of the one they are in. Scanning takes time linear in the page. A page without main text gives the empty text. Repeated rows are handled alike.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ from .common import spread, text_slices
 from .crf import Crf
 from .labelled_pages import labelled_pages
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPENING = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*+))")
+#: The rest of a tag: its end is the first > outside quoted values. A quote only opens behind =, and only if it is closed somewhere.
+_REST = re.compile(r"((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+)>")
+_LONG_REFERENCE, _ZEROS = re.compile(r"&#[1-9][0-9]{7,}+;?"), re.compile(r"&#0++(?=[0-9])")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 #: Their content is text up to their own end tag, or to the end of the page.
@@ -37,6 +41,10 @@ FOREIGN = frozenset(("svg", "math"))
 _HTML_AGAIN = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 _WALLS = frozenset(("object", "template"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements open at a time, as in browsers: deeper ones are read, but their tags are not remembered. Class and id words of an element.
+DEPTH, NAMES = 512, 32
+#: Tags of a page whose quotes may swallow all that follows before quotes are no longer looked at.
+_ASTRAY = 16
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption button label".split()
 )
@@ -56,12 +64,52 @@ class Block:
         self.text, self.path, self.linked = text, path, linked
 
 
+class _Tags:
+    """Finds the markup of a page from any place on, in time linear in the page."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.astray = html, html.rfind(">"), 0
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it is an end tag, tag or "", attributes) of the next mark; none if the rest is text."""
+        html = self.html
+        m = _OPENING.search(html, at)
+        if m is None:
+            return None
+        start, at = m.span()
+        if m[1]:  # a comment without an end runs to the end of the page
+            end = html.find("-->", at - 2)
+            return start, len(html) if end < 0 else end + 3, False, "", ""
+        if start > self.last:
+            return None
+        if m[2]:
+            return start, html.index(">", at) + 1, False, "", ""
+        rest = _REST.match(html, at) if self.astray < _ASTRAY else None
+        if rest:
+            return start, rest.end(), bool(m[3]), m[4].lower(), rest[1]
+        self.astray += 1
+        end = html.index(">", at)
+        return start, end + 1, bool(m[3]), m[4].lower(), html[at:end]
+
+
+def _decoded(text: str) -> str:
+    """The text with character references decoded; numbers of eight digits and more are no characters."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = _LONG_REFERENCE.sub("\ufffd", _ZEROS.sub("&#", text))
+    return unescape(text)
+
+
 def _names(attributes: str) -> tuple[str, ...]:
     if "=" not in attributes:
         return ()
-    found = []
+    found: dict[str, None] = {}
     for m in _ATTRIBUTE.finditer(attributes):
-        found += [f".{w}" for w in _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower())]
+        for w in _NAME.finditer(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower()):
+            found[f".{w[0]}"] = None
+            if len(found) == NAMES:
+                return tuple(found)
     return tuple(found)
 
 
@@ -78,7 +126,7 @@ def _ignored(html: str) -> dict[int, int]:
     opened: Counter[str] = Counter()
     #: Where a select that has no end tag of its own ends at the latest: before the first of these, which it may hold otherwise.
     unsure: dict[int, int] = {}
-    at = 0
+    at, tags, deeper = 0, _Tags(html), Counter()
 
     def leave(k: int, to: int) -> None:
         for tag, start in stack[k:]:
@@ -87,61 +135,73 @@ def _ignored(html: str) -> dict[int, int]:
                 ends[start] = min(to, unsure.get(start, to))
         del stack[k:]
 
-    while m := _MARK.search(html, at):
-        at = m.end()
-        if not m[2]:
+    while mark := tags.after(at):
+        begin, at, ending, tag, attributes = mark
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if opened[tag]:
+        if ending:
+            if deeper[tag]:
+                deeper[tag] -= 1
+            elif opened[tag]:
                 k = len(stack) - 1
                 while stack[k][0] != tag and stack[k][0] not in _WALLS:
                     k -= 1
                 if stack[k][0] == tag:
                     own = stack[k][1]
-                    leave(k, m.start())
+                    leave(k, begin)
                     if tag in IGNORED:
                         ends[own] = at
             continue
         inner = next((t for t, _ in reversed(stack) if t in IGNORED or t in _HTML_AGAIN), "") if any(opened[t] for t in IGNORED) else ""
         if (inner in FOREIGN and tag in _ENDS_FOREIGN) or (inner == "select" and (tag in _ENDS_SELECT or tag == "select")):
-            leave(max(i for i, (t, _) in enumerate(stack) if t == inner), m.start())
+            leave(max(i for i, (t, _) in enumerate(stack) if t == inner), begin)
         elif inner == "select" and tag in _MAYBE_SELECT:
-            unsure.setdefault(next(start for t, start in reversed(stack) if t == inner), m.start())
-        closed = m[3].endswith("/")
+            unsure.setdefault(next(start for t, start in reversed(stack) if t == inner), begin)
+        closed = attributes.endswith("/")
         if tag in RAW:
             if not (closed and inner in FOREIGN):
                 at = _raw_end(tag, html, at)
         elif tag not in VOID and (not closed or tag in IGNORED - FOREIGN):
-            stack.append((tag, at))
-            opened[tag] += 1
+            if len(stack) < DEPTH:
+                stack.append((tag, at))
+                opened[tag] += 1
+            else:
+                deeper[tag] += 1
     return ends
 
 
 def blocks(html: str) -> list[Block]:
     """The page's leaf blocks in order. ``path`` holds the ancestors' tags, each followed by its dotted class and id words."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    #: Tag, names and path of each open element, how many there are of each tag, and of tags opened beyond ``DEPTH``.
+    stack: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()
+    deeper: Counter[str] = Counter()
     text: list[str] = []
     linked = links = 0
-    at, n = 0, len(html)
-    ends: dict[int, int] | None = None
+    at, n, tags = 0, len(html), _Tags(html)
+    ignored: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
         if text:
-            joined = " ".join(unescape("".join(text)).split())
+            joined = " ".join(_decoded("".join(text)).split())
             if joined:
-                out.append(Block(joined, tuple(w for tag, names in stack for w in (tag, *names)), linked))
+                out.append(Block(joined, stack[-1][2] if stack else (), linked))
             text.clear()
         linked = 0
 
+    def push(tag: str, names: tuple[str, ...]) -> None:
+        stack.append((tag, names, (*(stack[-1][2] if stack else ()), tag, *names)))
+
     def close(k: int) -> None:
         """Drops the stack from its k-th element on."""
         nonlocal links
-        if any(tag in BLOCK for tag, _ in stack[k:]):
+        if any(tag in BLOCK for tag, _, _ in stack[k:]):
             flush()
-        links -= sum(tag == "a" for tag, _ in stack[k:])
+        for tag, _, _ in stack[k:]:
+            opened[tag] -= 1
+            links -= tag == "a"
         del stack[k:]
 
     def add(s: str) -> None:
@@ -152,22 +212,32 @@ def blocks(html: str) -> list[Block]:
                 linked += len(s)
 
     while at < n:
-        m = _MARK.search(html, at)
-        if m is None:
+        mark = tags.after(at)
+        if mark is None:
             add(html[at:])
             break
-        add(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        begin, end, ending, tag, attributes = mark
+        add(html[at:begin])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if k >= 0 and (tag in BLOCK or not any(t in BLOCK for t, _ in stack[k + 1 :])):
+        if ending:
+            if deeper[tag]:
+                deeper[tag] -= 1
+                links -= tag == "a"
+                if tag in BLOCK:
+                    flush()
+                continue
+            k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag) if opened[tag] else -1
+            if k >= 0 and (tag in BLOCK or not any(t in BLOCK for t, _, _ in stack[k + 1 :])):
                 close(k)
             elif k >= 0:  # an inline end tag behind a block: the element ends, the block stays
                 links -= tag == "a"
-                del stack[k]
+                opened[tag] -= 1
+                above = stack[k + 1 :]
+                del stack[k:]
+                for t, names, _ in above:
+                    push(t, names)
             elif tag in BLOCK:
                 flush()
             continue
@@ -175,12 +245,12 @@ def blocks(html: str) -> list[Block]:
             at = _raw_end(tag, html, at)
             continue
         if tag in IGNORED:
-            if tag in FOREIGN and m[3].endswith("/"):
+            if tag in FOREIGN and attributes.endswith("/"):
                 continue
-            if ends is None:
-                ends = _ignored(html)
-            if at in ends:
-                at = ends[at]
+            if ignored is None:
+                ignored = _ignored(html)
+            if at in ignored:
+                at = ignored[at]
                 continue
         if tag in VOID:
             if tag == "hr":
@@ -190,22 +260,28 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag == "head":
             continue
-        if tag in _ENDS_P and (k := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), -1)) >= 0 and not any(t in ("button", "td", "table", "li", "div") for t, _ in stack[k + 1 :]):
-            close(k)
+        if tag in _ENDS_P and opened["p"]:
+            k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p")
+            if not any(t in ("button", "td", "table", "li", "div") for t, _, _ in stack[k + 1 :]):
+                close(k)
         if tag in _ENDS:
-            ends, stop = _ENDS[tag]
+            ended, stop = _ENDS[tag]
             k = len(stack)
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in stop:
                     break
-                if stack[i][0] in ends:
+                if stack[i][0] in ended:
                     k = i
             if k < len(stack):
                 close(k)
         if tag in BLOCK:
             flush()
-        if not m[3].endswith("/"):
-            stack.append((tag, _names(m[3])))
+        if not attributes.endswith("/"):
+            if len(stack) < DEPTH:
+                push(tag, _names(attributes))
+                opened[tag] += 1
+            else:
+                deeper[tag] += 1
             links += tag == "a"
     flush()
     return out
