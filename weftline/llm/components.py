@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,19 @@ class UnionFind:
         self.parent.setdefault(a, a)
         self.parent[b] = a
 
+    def join_all(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Joins pairs of two arrays: one partner for each distinct a at a time, dropping the pairs that this joins already."""
+        while len(a):
+            first = np.unique(a, return_index=True)[1]
+            for x, y in zip(a[first].tolist(), b[first].tolist()):
+                self.join(x, y)
+            root = []
+            for c in (a, b):
+                values, at = np.unique(c, return_inverse=True)
+                root.append(np.array([self.find(x) for x in values.tolist()], np.int64)[at])
+            apart = root[0] != root[1]
+            a, b = a[apart], b[apart]
+
 
 def contracted(links: DataFrame) -> DataFrame:
     """The links of each partition as stars, which connect the same: at most one row per id and partition."""
