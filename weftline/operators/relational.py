@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import builtins as B
 from ..functions.builtins import Typed
 from ..plans import tree as t
+from ..shared import written
 from ..types import BYTEARRAY, DOUBLE, LONG, CHARARRAY, BagType, Field, Schema, ScriptError, TupleType, compatible, escalate, to_spark
 from .expressions import WINDOW, Functions, Grouped, Lower, Relation, RowScope, Scope, show
 
@@ -453,15 +454,17 @@ def cross(rs: list[Relation], aliases: list[str]) -> Relation:
 
 
 def indexed(r: Relation) -> DataFrame:
-    """The rows with their position, _n. Each partition counts its own; only the counts reach the driver. The rows are kept on
-    disk, so that both passes see the same partitions: a sort that runs again may cut its ranges elsewhere."""
-    part = r.df.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
-    counts = {x["_p"]: x["n"] for x in part.groupBy("_p").agg(F.count("*").alias("n")).collect()}
-    base, total = {}, 0
-    for p in sorted(counts):
-        base[p], total = total, total + counts[p]
-    starts = F.create_map(*[F.lit(v) for p, s in base.items() for v in (p, s)]) if base else F.create_map().cast("map<int,bigint>")
-    return part.withColumn("_n", F.element_at(starts, F.col("_p")).cast("bigint") + F.col("_i").bitwiseAND((1 << 33) - 1)).drop("_p", "_i")
+    """The rows with their position, _n. Each partition numbers its own rows and they are written to the shared folder with these
+    numbers, so that a lost executor or a sort that would cut its ranges elsewhere changes nothing. One count for each partition reaches
+    the driver and goes back as a table of as many rows."""
+    spark = r.df.sparkSession
+    part = written(r.df.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    counts, starts, total = sorted(tuple(x) for x in part.groupBy("_p").count().collect()), [], 0
+    for p, n in counts:
+        starts.append((p, total))
+        total += n
+    base = F.broadcast(spark.createDataFrame(starts, "_p int, _b bigint"))
+    return part.join(base, "_p").withColumn("_n", F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
 
 
 def zip_(rs: list[Relation], aliases: list[str], with_index: bool) -> Relation:
@@ -605,7 +608,8 @@ def delay(r: Relation, wait: float, factor: int) -> Relation:
 
 
 def tuplify(r: Relation, on: t.Expr, functions: Functions) -> Relation:
-    """Triples of one subject (or other field) as one wide tuple: the field, then a map from predicate to object."""
+    """Triples of one subject (or other field) as one wide tuple: the field, a map from predicate to object, and a bag of all pairs. Of a
+    predicate that occurs more than once the map has the smallest object, as a map holds one value a key; the bag keeps each."""
     r = settled(r)
     if r.schema is None or len(r.schema.fields) != 3:
         raise ScriptError("TUPLIFY needs triples")
@@ -614,12 +618,14 @@ def tuplify(r: Relation, on: t.Expr, functions: Functions) -> Relation:
     at = on.index if isinstance(on, t.Pos) else r.schema.find(on.name, on.lineage)
     rest = [i for i in range(3) if i != at]
     pair = F.struct(F.col(f"_{rest[0]}").cast("string"), F.col(f"_{rest[1]}").cast("string"))
-    # A predicate that occurs twice keeps its smallest object.
-    df = r.df.groupBy(x.col.alias("_k"), pair.getField("col1").alias("_p")).agg(F.min(pair.getField("col2")).alias("_o"))
-    df = df.groupBy("_k").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_p", "_o")))).alias("_m"))
-    from ..types import MapType
-
-    return positional(df, [F.col("_k"), F.col("_m")], [f, Field("values", MapType(value=CHARARRAY))])
+    df = r.df.select(x.col.alias("_k"), pair.getField("col1").alias("_p"), pair.getField("col2").alias("_o"))
+    df = df.groupBy("_k", "_p").agg(F.min("_o").alias("_o"), F.array_sort(F.collect_list(F.struct(F.col("_p").alias("_0"), F.col("_o").alias("_1")))).alias("_a"))
+    df = df.groupBy("_k").agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("_p").isNotNull(), F.struct("_p", "_o"))))).alias("_m"), F.flatten(F.array_sort(F.collect_list("_a"))).alias("_a"))
+    from ..types import BagType, MapType, TupleType
+
+    names = [r.schema.fields[i].name for i in rest]
+    item = TupleType(fields=tuple(Field(n, CHARARRAY) for n in names))
+    return positional(df, [F.col("_k"), F.col("_m"), F.col("_a")], [f, Field("values", MapType(value=CHARARRAY)), Field("pairs", BagType(item=item))])
 
 
 __all__ = ["DOUBLE", "Relation", "positional", "settled"]

@@ -228,14 +228,32 @@ def filter_(r: Relation, predicate: str, ref: t.Expr, geometry: t.MakeGeometry,
     return replace(r, df=df.select(*r.df.columns))
 
 
-def _extent(frames: list[tuple[DataFrame, str]]) -> tuple[float, float, float, float] | None:
+#: Rows to a cell of a join's grid, and cells to a side at most in BSP.
+CELL_ROWS, SIDES = 1000, 256
+
+
+def _sizes(df: DataFrame, p: str):
+    """The box of all boxes, their number, and their mean width and height: one row."""
+    return df.agg(F.min(f"{p}x0"), F.min(f"{p}y0"), F.max(f"{p}x1"), F.max(f"{p}y1"), F.count(f"{p}x0"), F.avg(F.col(f"{p}x1") - F.col(f"{p}x0")), F.avg(F.col(f"{p}y1") - F.col(f"{p}y0"))).first()
+
+
+def _around(got: list) -> tuple[float, float, float, float]:
+    got = [g for g in got if g[0] is not None]
+    return (min(g[0] for g in got), min(g[1] for g in got), max(g[2] for g in got), max(g[3] for g in got)) if got else (0.0, 0.0, 1.0, 1.0)
+
+
+def _extent(frames: list[tuple[DataFrame, str]]) -> tuple[float, float, float, float]:
     """The box of all boxes: one row of four numbers from each input."""
-    got = []
-    for df, p in frames:
-        row = df.agg(F.min(f"{p}x0"), F.min(f"{p}y0"), F.max(f"{p}x1"), F.max(f"{p}y1")).first()
-        if row[0] is not None:
-            got.append(row)
-    return (min(g[0] for g in got), min(g[1] for g in got), max(g[2] for g in got), max(g[3] for g in got)) if got else None
+    return _around([_sizes(df, p) for df, p in frames])
+
+
+def _fineness(got: list, extent) -> int:
+    """Cells to a side: about ``CELL_ROWS`` rows of the larger input to a cell, but no cell smaller than an average box, so that
+    boxes are not copied to many. Crowded cells are split by the join itself (adaptive skew handling)."""
+    rows = max(g[4] for g in got)
+    width, height = (max((g[i] or 0.0) for g in got) for i in (5, 6))
+    most = min([(extent[2] - extent[0]) / width if width > 0 else 1e9, (extent[3] - extent[1]) / height if height > 0 else 1e9])
+    return max(1, min(math.ceil(math.sqrt(rows / CELL_ROWS)), int(most), 1 << 15))
 
 
 def _cells(df: DataFrame, p: str, extent, n: int) -> DataFrame:
@@ -251,17 +269,19 @@ def options(method: tuple[str, list] | None) -> dict:
     return dict(p for p in method[1] if isinstance(p, tuple)) if method else {}
 
 
-def join(rs: list[Relation], aliases: list[str], predicate: str, refs, partition, functions: Functions, cells: int = 64) -> Relation:
+def join(rs: list[Relation], aliases: list[str], predicate: str, refs, partition, functions: Functions) -> Relation:
+    """Pairs that satisfy the predicate, found in the cells of a grid. An index that a script names is what sorts a stored table by
+    place; a join needs none, as cells bring the candidates together."""
     rs = [settled(r) for r in rs]
-    n = int(next((options(p).get("partitionsPerDimension") for p in partition if options(p).get("partitionsPerDimension")), cells))
     frames = []
     for r, ref, m in zip(rs, refs, ("a", "b")):
         g = _geometry(r, ref, functions)
         df = r.df.select(*[F.col(c).alias(f"{m}{c}") for c in r.df.columns], g.alias(f"{m}g"))
         frames.append(boxed(df, F.col(f"{m}g"), m).where(f"{m}x0 IS NOT NULL"))
-    extent = _extent(list(zip(frames, ("a", "b"))))
-    if extent is None:
-        extent = (0.0, 0.0, 1.0, 1.0)
+    got = [_sizes(df, m) for df, m in zip(frames, ("a", "b"))]
+    extent = _around(got)
+    given = next((options(p).get("partitionsPerDimension") for p in partition if options(p).get("partitionsPerDimension")), None)
+    n = int(given) if given else _fineness(got, extent)
     left, right = _cells(frames[0], "a", extent, n), _cells(frames[1], "b", extent, n)
     w, h = (max(extent[2] - extent[0], 1e-9) / n, max(extent[3] - extent[1], 1e-9) / n)
     df = left.join(right, (F.col("acx") == F.col("bcx")) & (F.col("acy") == F.col("bcy")) & _boxes(predicate, "a", "b"))
@@ -271,20 +291,65 @@ def join(rs: list[Relation], aliases: list[str], predicate: str, refs, partition
     return _joined(df, rs, aliases, ["a", "b"])
 
 
+def _given(method: tuple[str, list], *names: str) -> dict:
+    """Parameters by name; plain ones take the names in order. Any other is an error."""
+    named, free = options(method), list(names)
+    plain = [p for p in method[1] if not isinstance(p, tuple)]
+    free = [n for n in free if n not in named]
+    if len(plain) > len(free) or set(named) - set(names):
+        raise ScriptError(f"{method[0].upper()} takes {', '.join(names)}")
+    return named | dict(zip(free, plain))
+
+
+def halves(counts: np.ndarray, most: float) -> np.ndarray:
+    """The number of the part that each cell belongs to: the plane is cut in two where the halves come closest, along either axis,
+    until a part holds at most ``most`` or is one cell."""
+    parts, todo, number = np.zeros(counts.shape, np.int64), [(0, counts.shape[0], 0, counts.shape[1])], 0
+    while todo:
+        x0, x1, y0, y1 = todo.pop()
+        part = counts[x0:x1, y0:y1]
+        if part.sum() <= most or part.size == 1:
+            parts[x0:x1, y0:y1] = number
+            number += 1
+            continue
+        cuts = []
+        for axis, n in ((0, x1 - x0), (1, y1 - y0)):
+            if n > 1:
+                left = np.cumsum(part.sum(axis=1 - axis))[:-1]
+                k = int(np.abs(2 * left - part.sum()).argmin())
+                cuts.append((abs(2 * int(left[k]) - int(part.sum())), axis, k + 1))
+        _, axis, k = min(cuts)
+        todo += [(x0, x0 + k, y0, y1), (x0 + k, x1, y0, y1)] if axis == 0 else [(x0, x1, y0, y0 + k), (x0, x1, y0 + k, y1)]
+    return parts
+
+
 def partition(r: Relation, ref: t.Expr, method: tuple[str, list], functions: Functions) -> Relation:
-    """Rows dealt by place: in the cells of a grid, or in ranges of x and y with as many rows each."""
+    """Rows dealt by their boxes' centres. GRID(partitionsPerDimension, withExtent): the cells of a grid over all centres, or with
+    withExtent over all boxes. BSP(sideLength, maxCost): cells of ``sideLength`` (at most ``SIDES`` to a side) are counted and the plane
+    is cut in two until a part holds at most ``maxCost`` rows or is one cell; one count for each cell reaches the driver."""
     r = settled(r)
     df = boxed(r.df.withColumn("_g", _geometry(r, ref, functions)), F.col("_g"), "a")
-    given = options(method)
+    df = df.withColumn("_x", (F.col("ax0") + F.col("ax1")) / 2).withColumn("_y", (F.col("ay0") + F.col("ay1")) / 2)
     if method[0] == "grid":
-        n = int(given.get("partitionsPerDimension", 8))
-        e = _extent([(df, "a")]) or (0.0, 0.0, 1.0, 1.0)
-        w, h = (max(e[2] - e[0], 1e-9) / n, max(e[3] - e[1], 1e-9) / n)
-        cell = F.least(F.floor(((F.col("ax0") + F.col("ax1")) / 2 - e[0]) / w), F.lit(n - 1)) * n + F.least(F.floor(((F.col("ay0") + F.col("ay1")) / 2 - e[1]) / h), F.lit(n - 1))
-        df = df.repartition(n * n, cell)
+        given = _given(method, "partitionsPerDimension", "withExtent")
+        nx = ny = int(given.get("partitionsPerDimension", 8))
+        e = _extent([(df, "a")]) if str(given.get("withExtent", False)).lower() == "true" else _around([df.agg(F.min("_x"), F.min("_y"), F.max("_x"), F.max("_y")).first()])
     else:
-        df = df.repartitionByRange(F.col("ax0"), F.col("ay0"))
-    return replace(r, df=df.select(*r.df.columns))
+        given = _given(method, "sideLength", "maxCost")
+        e = _around([df.agg(F.min("_x"), F.min("_y"), F.max("_x"), F.max("_y")).first()])
+        side = float(given["sideLength"]) if "sideLength" in given else max(e[2] - e[0], e[3] - e[1], 1e-9) / SIDES
+        nx, ny = (max(1, min(SIDES, math.ceil((e[i + 2] - e[i]) / side))) for i in (0, 1))
+    place = lambda c, i, n: F.coalesce(F.least(F.floor((F.col(c) - e[i]) / (max(e[i + 2] - e[i], 1e-9) / n)), F.lit(n - 1)), F.lit(0)).cast("int")
+    df = df.withColumn("_cx", place("_x", 0, nx)).withColumn("_cy", place("_y", 1, ny))
+    if method[0] == "grid":
+        return replace(r, df=df.repartition(nx * ny, F.col("_cx") * ny + F.col("_cy")).select(*r.df.columns))
+    counts = np.zeros((nx, ny), np.int64)
+    for x in df.groupBy("_cx", "_cy").count().collect():
+        counts[x["_cx"], x["_cy"]] = x["count"]
+    parts = halves(counts, float(given.get("maxCost", max(1, counts.sum() // 64))))
+    table = df.sparkSession.createDataFrame([(i, j, int(parts[i, j])) for i, j in zip(*map(lambda a: a.tolist(), np.nonzero(counts)))] or [(0, 0, 0)], "_cx int, _cy int, _part bigint")
+    df = df.join(F.broadcast(table), ["_cx", "_cy"])  # at most SIDES * SIDES rows
+    return replace(r, df=df.repartition(int(parts.max()) + 1, "_part").select(*r.df.columns))
 
 
 def index(r: Relation, ref: t.Expr, functions: Functions) -> Relation:
@@ -298,7 +363,7 @@ def picture(r: Relation, ref: t.Expr, width: int, height: int, functions: Functi
     """A PNG of the geometries' first corners. Spark counts by pixel: the driver gets one number a pixel at most."""
     r = settled(r)
     df = boxed(r.df.withColumn("_g", _geometry(r, ref, functions)), F.col("_g"), "a")
-    e = _extent([(df, "a")]) or (0.0, 0.0, 1.0, 1.0)
+    e = _extent([(df, "a")])
     x = F.least(F.floor((F.col("ax0") - e[0]) / max(e[2] - e[0], 1e-9) * width), F.lit(width - 1)).cast("int").alias("x")
     y = F.least(F.floor((F.col("ay0") - e[1]) / max(e[3] - e[1], 1e-9) * height), F.lit(height - 1)).cast("int").alias("y")
     image = np.full((height, width), 255, np.uint8)

@@ -291,7 +291,8 @@ class Session:
         return loaders.from_columns(fn(output.frame(relational.settled(r)), *args), s["schema"])
 
     def op_rscript(self, s, r):
-        """The bag as a matrix of doubles through Rscript, in one process, as the language has it."""
+        """The bag as a matrix of doubles through Rscript. The language gives the whole bag to one R process, so one task reads it all;
+        R's own memory bounds it."""
         if shutil.which("Rscript") is None:
             raise ScriptError("RSCRIPT needs Rscript, which isn't installed")
         r = relational.settled(r)
@@ -338,6 +339,7 @@ class Session:
         return query
 
     def do_dump(self, s):
+        """All lines are printed by the driver, as the language has it; MUTE and STORE are there for more than it holds."""
         r = relational.settled(self.relation(s.ins[0])) if not self.relation(s.ins[0]).deferred else self.relation(s.ins[0])
         if r.df.isStreaming:
             return self._batch(r, lambda b: [self.out(x.value) for x in output.lines(b).collect()])
@@ -350,7 +352,7 @@ class Session:
         return got
 
     def do_display(self, s):
-        text = output.display(relational.settled(self.relation(s.ins[0])))
+        text = output.display(relational.settled(self.relation(s.ins[0])), None if (n := self.settings.get("display_rows")) is None else int(n))
         self.out(text)
         return text
 
@@ -434,7 +436,10 @@ class Session:
             self.spark.sparkContext.addPyFile(file)
             self._python(Path(file).read_text())
         elif file.endswith(".jar"):
-            self.settings.setdefault("jars", []).append(file)
+            # Executors fetch it, and this session's class loader takes it on, so that DEFINE finds its classes.
+            if not self.allow_code:
+                raise ScriptError("registering jars needs Session(allow_code=True)")
+            self.spark.sql("ADD JAR '" + file.replace("'", "\\'") + "'")
         else:
             raise ScriptError(f"can't register {file!r}")
         return None

@@ -70,11 +70,14 @@ def store(r: Relation, file: str, using: tuple[str, list] | None, mode: str = "e
         raise ScriptError(f"no storer {name!r}")
 
 
-def display(r: Relation, rows: int = 1000) -> str:
-    """A table for notebooks: a header line and the first rows, separated by tabs."""
-    head = "\t".join(names(r))
-    got = lines(r, "\t").limit(rows).collect()
-    return "%table " + "\n".join([head, *(x.value for x in got)])
+def display(r: Relation, rows: int | None = None) -> str:
+    """A table for notebooks: a header line and all rows, separated by tabs, fetched one partition at a time. ``rows`` (a script's
+    ``SET display_rows``) shows the first ones alone and says so in a last line."""
+    head, text = "\t".join(names(r)), lines(r, "\t")
+    if rows is None:
+        return "%table " + "\n".join([head, *(x.value for x in text.toLocalIterator())])
+    got = [x.value for x in text.limit(rows + 1).collect()]
+    return "%table " + "\n".join([head, *got[:rows]]) + (f"\nthe first {rows} rows" if len(got) > rows else "")
 
 
 def fs(spark: SparkSession, command: str, params: list[str]) -> list[str]:
