@@ -274,3 +274,26 @@ def test_merged_scripts_share_plans(make, put):
     s = make()
     s.run_merged(["a = LOAD '$d/a' AS (v: int); b = FILTER a BY v > 1;", "p = LOAD '$d/a' AS (v: int); q = FILTER p BY v > 1; r = LIMIT q 1;"])
     assert rows(s, "q") == [(2,)] and len([k for k in s.shared]) == 3
+
+
+def test_command_line_outputs(spark, put, tmp_path, capsys):
+    put("a", "1", "2")
+    put("s.pig", "a = LOAD '$d/a' AS (v: int); b = FILTER a BY v > 1; STORE b INTO 'kept';")
+    note = tmp_path / "note"
+    done = f"""sh -c 'echo "$0" > {note}'"""
+    assert cli.main(["-p", f"d={tmp_path}", "--outdir", str(tmp_path / "o"), "--show-stats", "--profiling", "--log-level", "ERROR", "--backend-args", "spark.sql.session.timeZone=UTC", "--notify", done, str(tmp_path / "s.pig")]) == 0
+    printed_lines = capsys.readouterr().out
+    assert (tmp_path / "o" / "kept" / "_SUCCESS").exists() and note.read_text() == "ok\n" and "b: " in printed_lines and " s, " in printed_lines
+
+
+def test_long_displays_are_whole(make, put):
+    put("a", *map(str, range(1500)))
+    s = make()
+    s.run("a = LOAD '$d/a' AS (v: int);")
+    assert s.run("DISPLAY a;")[0].count("\n") == 1500
+    assert s.run("SET display_rows 3; DISPLAY a;")[0].endswith("\nthe first 3 rows")
+
+
+def test_jars_need_leave(make):
+    with pytest.raises(ScriptError, match="allow_code"):
+        make().run("REGISTER 'x.jar';")

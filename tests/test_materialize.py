@@ -33,3 +33,18 @@ def test_advice():
     assert g.choose(["filter", "group"]) == "group" and g.choose(["filter", "group"], "MARKOV") == "filter" and g.choose(["group", "filter"], "LAST") == "filter" and g.choose([]) is None
     with pytest.raises(ScriptError):
         g.choose(["group"], "NOPE")
+
+
+def test_profiles_measure_what_ran(spark, tmp_path):
+    from weftline.session import Session
+
+    (tmp_path / "a").write_text("".join(f"{i}\n" for i in range(1000)))
+    s = Session(spark, {"d": str(tmp_path)}, out=lambda *_: None, profile=True, store=str(tmp_path / "kept"))
+    s.run("a = LOAD '$d/a' AS (v: int); b = FILTER a BY v > 899; c = FOREACH b GENERATE v, v * 2 AS w; x = FILTER a BY v < 0;")
+    assert not s.graph.times  # nothing has run yet
+    s.run("STORE c INTO '$d/out';")
+    g, sig = s.graph, s.signatures
+    assert g.sizes[sig["a"]] == 8000 and g.sizes[sig["b"]] == 800 and g.sizes[sig["c"]] == 1600 and sig["x"] not in g.times
+    assert g.cost(sig["c"]) > g.cost(sig["b"]) > g.cost(sig["a"]) > 0 and len(s.statistics()) == 3
+    s.run("MATERIALIZE b;")
+    assert g.sizes[sig["b"]] == s._store.entries[sig["b"]].size

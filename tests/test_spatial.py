@@ -61,3 +61,22 @@ def test_picture(spark, tmp_path):
     data = (tmp_path / "p.png").read_bytes()
     raw = zlib.decompress(data[data.index(b"IDAT") + 4 : data.index(b"IEND") - 8])
     assert data.startswith(b"\x89PNG") and [i for i, v in enumerate(raw) if i % 5 and v < 255] == [4, 16]
+
+
+def test_plane_cut_in_halves():
+    import numpy as np
+
+    counts = np.zeros((8, 8), np.int64)
+    counts[0, 0], counts[7, 7], counts[3, 2:6] = 100, 20, 10
+    parts = spatial.halves(counts, 25)
+    sizes = {int(p): int(counts[parts == p].sum()) for p in np.unique(parts)}
+    assert sum(sizes.values()) == counts.sum() and all(n <= 25 or (parts == p).sum() == 1 for p, n in sizes.items())
+
+
+def test_partition_parameters(spark):
+    s = Session(spark, out=lambda *_: None)
+    s.bind("t", spark.createDataFrame([(i, f"POINT({i % 10} {i // 10})") for i in range(100)], "i int, g string"))
+    s.run("a = FOREACH t GENERATE i, geometry(g) AS g; b = PARTITION a ON g USING BSP(sideLength=1, maxCost=10); c = PARTITION a ON g USING GRID(2, withExtent=true);")
+    assert s.df("b").rdd.getNumPartitions() >= 10 and s.df("b").count() == 100 and s.df("c").rdd.getNumPartitions() == 4
+    with pytest.raises(ScriptError, match="takes"):
+        s.run("d = PARTITION a ON g USING BSP(nothing=3);")

@@ -100,3 +100,27 @@ def test_zeromq_is_named_where_it_is_missing(spark):
     except ImportError:
         with pytest.raises(ScriptError, match="pyzmq"):
             Session(spark).run("e = SOCKET_READ '127.0.0.1:9' MODE ZMQ;")
+
+
+def test_live_windows_by_count(stream):
+    s = stream("1,a\n2,b\n3,a\n", "4,a\n5,b\n", "6,b\n7,a\n")
+    s.run("e = LOAD '$d' USING PigStream(',') AS (n: int, k: chararray); w = WINDOW e ROWS 3 SLIDE ROWS 2; g = GROUP w ALL; c = FOREACH g GENERATE COUNT(w), MIN(w.n), MAX(w.n); STORE c INTO '$o';")
+    assert stream.lines() == ["3,1,3", "3,3,5", "3,5,7"]
+
+
+def test_live_windows_by_count_and_key(stream):
+    s = stream("1,a\n2,b\n3,a\n", "4,b\n")
+    s.run("e = LOAD '$d' USING PigStream(',') AS (n: int, k: chararray); w = WINDOW e ROWS 2; g = GROUP w BY k; c = FOREACH g GENERATE group, SUM(w.n); STORE c INTO '$o';")
+    assert stream.lines() == ["a,1", "a,3", "b,2", "b,4"]
+
+
+def test_live_mixed_windows(stream):
+    s = stream("1,0\n2,10\n3,20\n", "4,35\n5,90\n", "6,95\n")
+    s.run("e = LOAD '$d' USING PigStream(',') AS (n: int, ts: long) TIMESTAMP(ts); w = WINDOW e RANGE 30 SECONDS SLIDE ROWS 2; g = GROUP w ALL; c = FOREACH g GENERATE COUNT(w), MIN(w.n), MAX(w.n); STORE c INTO '$o';")
+    assert stream.lines() == ["2,1,2", "2,5,6", "3,2,4"]
+
+
+def test_live_windows_by_the_clock(stream):
+    s = stream("1,0\n2,10\n3,20\n", "4,35\n5,90\n", "6,95\n")
+    s.run("e = LOAD '$d' USING PigStream(',') AS (n: int, ts: long) TIMESTAMP(ts); w = WINDOW e ROWS 2 SLIDE RANGE 30 SECONDS; g = GROUP w ALL; c = FOREACH g GENERATE COUNT(w), MIN(w.n), MAX(w.n); STORE c INTO '$o';")
+    assert stream.lines() == ["2,2,3", "2,3,4"]

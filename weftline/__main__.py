@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import shlex
+import subprocess
 import sys
+import time
 from pathlib import Path
 
 from .plans import rewrite
@@ -59,6 +62,11 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--store", help="folder for MATERIALIZE")
     p.add_argument("--overwrite", action="store_true")
     p.add_argument("--quiet", action="store_true")
+    p.add_argument("--outdir", help="folder for STORE's and VISUALIZE's relative paths")
+    p.add_argument("--log-level", default="WARN", choices=["OFF", "ERROR", "WARN", "INFO", "DEBUG", "TRACE"])
+    p.add_argument("--show-stats", action="store_true", help="seconds of each script; with --profiling also rows and seconds of its operators")
+    p.add_argument("--notify", metavar="COMMAND", help="run when all is done, with 'ok' or the error as its last argument")
+    p.add_argument("--backend-args", action="append", default=[], metavar="NAME=VALUE", help="a Spark setting")
     a = p.parse_args(argv)
     params = {}
     for f in a.param_file:
@@ -67,8 +75,12 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     builder = SparkSession.builder.appName("weftline").config("spark.sql.session.timeZone", "UTC")
+    for setting in a.backend_args:
+        name, _, value = setting.partition("=")
+        builder = builder.config(name, value)
     spark = (builder.master(a.master) if a.master else builder).getOrCreate()
-    make = lambda base: Session(spark, params, allow_code=a.allow_code, optimize=not a.no_optimization, mute=a.mute_consumer, store=a.store, mode="overwrite" if a.overwrite else "errorifexists", base=base, profile=a.profiling, out=(lambda *_: None) if a.quiet else print)
+    spark.sparkContext.setLogLevel(a.log_level)
+    make = lambda base: Session(spark, params, allow_code=a.allow_code, optimize=not a.no_optimization, mute=a.mute_consumer, store=a.store, mode="overwrite" if a.overwrite else "errorifexists", base=base, profile=a.profiling, outdir=a.outdir, out=(lambda *_: None) if a.quiet else print)
     session = make(".")
     try:
         for script in a.scripts:
@@ -81,14 +93,26 @@ def main(argv: list[str] | None = None) -> int:
                 plan = session.prepare(source)
                 print(rewrite.dot(plan) if a.dot else rewrite.described(plan))
             else:
+                began = time.perf_counter()
                 session.run(source)
+                if a.show_stats:
+                    print(f"{script}: {time.perf_counter() - began:.3f} s")
+                    for line in session.statistics():
+                        print(line)
         if a.interactive or not a.scripts:
             console(session)
     except ScriptError as e:
         print(f"error: {e}", file=sys.stderr)
+        _notify(a.notify, f"error: {e}")
         return 1
+    _notify(a.notify, "ok")
     return 0
 
 
+def _notify(command: str | None, message: str) -> None:
+    if command:
+        subprocess.run([*shlex.split(command), message], check=False)
+
+
 if __name__ == "__main__":
     sys.exit(main())

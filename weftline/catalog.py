@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import catalog_steps
 from .session import Session
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -36,11 +37,11 @@ def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query(name) for name in SCRIPTS}
+    return {name: query(name) for name in SCRIPTS} | catalog_steps.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in SCRIPTS.items() if sql}
+    return {name: sql for name, (_, sql) in SCRIPTS.items() if sql} | catalog_steps.oracle_sql()
 
 
 _add(
@@ -209,8 +210,8 @@ _add(
 )
 _add(
     "matrix",
-    "m = FOREACH part GENERATE p_partkey, ddmatrix(2, 2, p_size, p_retailprice, 0, 1) AS m, simatrix(1, 3, 0, p_size, 0) AS s; out = FOREACH m GENERATE p_partkey, get_json_object(to_json(m), '$.values[1]') AS v, get_json_object(to_json(s), '$.at[0]') AS at;",
-    None,
+    "m = FOREACH part GENERATE p_partkey, ddmatrix(2, 2, p_size, p_retailprice, 0, 1) AS m, simatrix(1, 3, 0, p_size, 0) AS s; out = FOREACH m GENERATE p_partkey, (double) get_json_object(to_json(m), '$.values[0]') AS u, (double) get_json_object(to_json(m), '$.values[1]') AS v, (int) get_json_object(to_json(s), '$.at[0]') AS at;",
+    "SELECT p_partkey, CAST(p_size AS DOUBLE) AS u, p_retailprice AS v, 1 AS at FROM part",
 )
 _TRIPLES = """n1 = FOREACH nation GENERATE 'n' + n_nationkey AS subject, 'name' AS predicate, n_name AS object;
     n2 = FOREACH nation GENERATE 'n' + n_nationkey AS subject, 'region' AS predicate, 'r' + n_regionkey AS object;
@@ -231,7 +232,7 @@ _add(
     "SELECT 'c' || c_custkey AS c, 'n' || c_nationkey AS n, n_name AS name, 'r' || n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'",
 )
 _add(
-    "bgp_grouped",
+    "group_of_triples",
     _TRIPLES + "g = GROUP t BY subject; h = FOREACH g { m = FILTER t BY predicate == 'nation'; GENERATE group AS s, COUNT(m) AS n, COUNT(t) AS all_; }; out = FILTER h BY n > 0;",
     "SELECT 'c' || c_custkey AS s, CAST(1 AS BIGINT) AS n, CAST(2 AS BIGINT) AS all_ FROM customer",
 )
@@ -255,10 +256,34 @@ _add(
     SELECT unnest([event_id, ni]) AS event_id, user_id FROM e WHERE event_type = 'view' AND ni IS NOT NULL""",
 )
 _add("cep_any", _CEP.format(f"SEQ(A, B) {_TYPES}", "skip_till_any_match", ""), "SELECT unnest([a.event_id, b.event_id]) AS event_id, a.user_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id WHERE a.event_type = 'view' AND b.event_type = 'click'")
-_add("cep_first", _CEP.format(f"SEQ(A, B, C) {_TYPES}", "first_match", ""), None)
-_add("cep_recent", _CEP.format(f"SEQ(A, B) {_TYPES}", "recent_match", ""), None)
-_add("cep_within", "e = FOREACH events GENERATE event_id, user_id, event_type, ts;\nm = MATCH_EVENT e PATTERN SEQ(A, NEG(C), B) " + _TYPES + " MODE skip_till_next_match WITHIN 600 SECONDS BY user_id ORDER BY ts; out = FOREACH m GENERATE event_id, user_id;", None)
-_add("cep_or_and", _CEP.format(f"SEQ(A, OR(B, C), AND(A, C)) {_TYPES}", "skip_till_next_match", ""), None)
+#: For each event, the next one of each type for the same user.
+_NEXT = "n AS (SELECT event_id, user_id, event_type, " + ", ".join(f"min(CASE WHEN event_type = '{k}' THEN event_id END) OVER w AS {c}" for k, c in (("view", "a"), ("click", "b"), ("purchase", "c"))) + " FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))"
+# One run at a time: the first view, the next click, the next purchase, then from there on again.
+_add(
+    "cep_first",
+    _CEP.format(f"SEQ(A, B, C) {_TYPES}", "first_match", ""),
+    f"""WITH RECURSIVE {_NEXT}, f AS (SELECT user_id, min(event_id) AS a FROM events WHERE event_type = 'view' GROUP BY 1),
+    m AS (SELECT x.user_id, x.event_id AS a, x.b, y.c FROM f JOIN n x ON x.event_id = f.a JOIN n y ON y.event_id = x.b WHERE y.c IS NOT NULL
+    UNION ALL SELECT x.user_id, x.event_id, x.b, y.c FROM m JOIN n z ON z.event_id = m.c JOIN n x ON x.event_id = z.a JOIN n y ON y.event_id = x.b WHERE y.c IS NOT NULL)
+    SELECT unnest([a, b, c]) AS event_id, user_id FROM m""",
+)
+# A view whose next view or click is a click: later views replace it before.
+_add("cep_recent", _CEP.format(f"SEQ(A, B) {_TYPES}", "recent_match", ""), f"WITH {_NEXT} SELECT unnest([event_id, b]) AS event_id, user_id FROM n WHERE event_type = 'view' AND b IS NOT NULL AND (a IS NULL OR b < a)")
+# Complete matches use up their rows: all views before a click go with the first click behind them.
+_add("cep_cognitive", _CEP.format(f"SEQ(A, B) {_TYPES}", "cognitive_match", ""), f"WITH {_NEXT} SELECT unnest([event_id, b]) AS event_id, user_id FROM n WHERE event_type = 'view' AND b IS NOT NULL")
+_add(
+    "cep_within",
+    "e = FOREACH events GENERATE event_id, user_id, event_type, ts;\nm = MATCH_EVENT e PATTERN SEQ(A, NEG(C), B) " + _TYPES + " MODE skip_till_next_match WITHIN 600 SECONDS BY user_id ORDER BY ts; out = FOREACH m GENERATE event_id, user_id;",
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    m AS (SELECT v.event_id AS a, v.user_id, v.ts AS t, v.i, (SELECT min(x.i) FROM n x WHERE x.user_id = v.user_id AND x.i > v.i AND x.event_type IN ('click', 'purchase')) AS j FROM n v WHERE v.event_type = 'view')
+    SELECT unnest([m.a, n.event_id]) AS event_id, m.user_id FROM m JOIN n ON n.user_id = m.user_id AND n.i = m.j WHERE n.event_type = 'click' AND n.ts <= m.t + INTERVAL 600 SECONDS""",
+)
+# Each order of the alternatives is a sequence whose runs each take the next fitting row.
+_add(
+    "cep_or_and",
+    _CEP.format(f"SEQ(A, OR(B, C), AND(A, C)) {_TYPES}", "skip_till_next_match", ""),
+    f"WITH {_NEXT} " + " UNION ALL ".join(f"SELECT unnest([v.event_id, v.{x}, p.{y}, q.{z}]) AS event_id, v.user_id FROM n v JOIN n p ON p.event_id = v.{x} JOIN n q ON q.event_id = p.{y} WHERE v.event_type = 'view' AND q.{z} IS NOT NULL" for x in "bc" for y, z in ("ac", "ca")),
+)
 _POINTS = 'p = FOREACH events GENERATE event_id, geometry("POINT(" + value + " " + user_id + ")") AS g;\n'
 _add("spatial_filter", _POINTS + 'f = SPATIAL_FILTER p BY containedBy(g, geometry("POLYGON((10 10, 60 10, 60 50, 10 50, 10 10))")); out = FOREACH f GENERATE event_id;', "SELECT event_id FROM events WHERE value BETWEEN 10 AND 60 AND user_id BETWEEN 10 AND 50")
 _add(

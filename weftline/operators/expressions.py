@@ -27,6 +27,8 @@ class Relation:
     stream: bool = False
     grouped: Grouped | None = field(default=None, compare=False)
     deferred: tuple = ()
+    #: A live stream whose windows come whole in a micro-batch: what follows is run on each batch.
+    whole: bool = False
 
     @property
     def columns(self) -> list[str]:

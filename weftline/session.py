@@ -11,8 +11,9 @@ from dataclasses import replace
 from itertools import count
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .materialize import OperatorGraph, Store
 from .operators import cep, rdf, relational, spatial
@@ -35,7 +36,7 @@ class Session:
     """``allow_code``: whether embedded Python may run. ``optimize``: whether optional rewriting rules apply.
     ``store``: folder for MATERIALIZE. ``mode``: how STORE treats what is there (errorifexists or overwrite)."""
 
-    def __init__(self, spark: SparkSession, params: dict[str, str] | None = None, *, allow_code: bool = False, optimize: bool = True, store: str | None = None, mode: str = "errorifexists", base: str | Path = ".", seed: int | None = None, mute: bool = False, out=print, profile: bool = False):
+    def __init__(self, spark: SparkSession, params: dict[str, str] | None = None, *, allow_code: bool = False, optimize: bool = True, store: str | None = None, mode: str = "errorifexists", base: str | Path = ".", seed: int | None = None, mute: bool = False, out=print, profile: bool = False, outdir: str | None = None):
         self.spark, self.params, self.allow_code, self.optimize, self.mode, self.base, self.seed, self.mute, self.out = spark, params or {}, allow_code, optimize, mode, base, seed, mute, out
         self.relations: dict[str, Relation] = {}
         self.signatures: dict[str, str] = {}
@@ -47,7 +48,10 @@ class Session:
         self.functions = Functions(spark)
         self.queries: list = []
         self.plan: rewrite.Plan = []
+        self.outdir = outdir
         self.graph = OperatorGraph() if profile else None
+        self._seen: dict[str, Observation] = {}
+        self._inputs: dict[str, list[str]] = {}
         self._store = Store(spark, store) if store else None
         self._fresh = count(1).__next__
 
@@ -122,31 +126,78 @@ class Session:
 
     def _execute(self, s: t.Stmt):
         if not s.out:
-            return getattr(self, f"do_{s.kind}")(s)
-        began = time.perf_counter()
+            work = lambda: getattr(self, f"do_{s.kind}")(s)
+            return self._timed(s, work) if s.kind in ("dump", "display", "store") else work()
         sig = t.signature(s, [self.signatures.get(a, a) for a in s.ins])
         kept = self._store.get(sig) if self._store else None
         if sig in self.shared and s.kind not in ("sample", "delay", "cache"):
             r = self.shared[sig]
         else:
             ins = [self.relation(a) for a in s.ins]
-            live = next((r for r in ins if r.deferred), None)
+            live = next((r for r in ins if r.deferred or r.whole), None)
             if live is None and s.kind in _BATCHWISE and any(r.df.isStreaming and not r.window for r in ins) and not self._streams(s, ins):
                 live = ins[0]
             if live is not None:
                 if len(ins) > 1:
                     raise ScriptError(f"{s.kind.upper()} of a live stream and another bag needs windows")
-                r = replace(live, deferred=(*(live.deferred or ((s.ins[0], live.schema),)), s))
+                r = replace(live, deferred=(*(live.deferred or ((s.ins[0], replace(live, whole=False)),)), s))
             else:
                 r = getattr(self, f"op_{s.kind}")(s, *ins)
             if kept is not None:
                 r = replace(loaders.from_columns(kept, r.schema.fields), window=r.window, stream=r.stream) if r.schema else r
+            if self.graph is not None:
+                r = self._watched(sig, [self.signatures.get(a, a) for a in s.ins], r)
             self.shared[sig] = r
         self.relations[s.out], self.signatures[s.out] = r, sig
-        if self.graph is not None:
-            self.graph.ran(sig, [self.signatures.get(a, a) for a in s.ins], time.perf_counter() - began)
         return None
 
+    def _placed(self, file: str) -> str:
+        """A relative path of an output, in the folder for outputs if there is one."""
+        return file if self.outdir is None or file.startswith("/") or "://" in file else f"{self.outdir.rstrip('/')}/{file}"
+
+    # -- profiling
+    def statistics(self) -> list[str]:
+        """A line for each operator that ran: its alias, average seconds, and bytes that it put out."""
+        if self.graph is None:
+            return []
+        alias = {sig: a for a, sig in self.signatures.items()}
+        return [f"{alias.get(sig, sig[:8])}: {sum(x) / len(x):.4f} s, {self.graph.sizes.get(sig, 'unknown')} bytes" for sig, x in self.graph.times.items()]
+
+    def _watched(self, sig: str, inputs: list[str], r: Relation) -> Relation:
+        """Counts the rows of an operator when it runs: executors count along, no pass of its own."""
+        self._inputs[sig] = inputs
+        if r.grouped or r.deferred or r.df.isStreaming:
+            return r
+        seen = self._seen[sig] = Observation()
+        return replace(r, df=r.df.observe(seen, F.count(F.lit(1)).alias("rows")))
+
+    def _measured(self, alias: str, seconds: float) -> None:
+        """After an output ran: what its operators put out, and its time, dealt out to them by the rows that they took and gave."""
+        path, todo = [], [self.signatures[alias]]
+        while todo:
+            sig = todo.pop()
+            if sig not in path and sig in self._inputs:
+                path.append(sig)
+                todo += self._inputs[sig]
+        rows = {}
+        for sig in path:
+            got = self._seen[sig]._jo.getOrEmpty() if sig in self._seen and self._seen[sig]._jo is not None else None
+            if got is not None and not got.isEmpty():
+                rows[sig] = int(got.apply("rows"))
+        work = {sig: 1 + rows.get(sig, 0) + sum(rows.get(i, 0) for i in self._inputs[sig]) for sig in path}
+        total = sum(work.values())
+        for sig in reversed(path):
+            r = self.shared.get(sig)
+            width = 0 if r is None else sum(24 if isinstance(f.dataType, (T.StringType, T.ArrayType, T.MapType, T.StructType)) else 8 for f in r.df.schema)
+            self.graph.ran(sig, self._inputs[sig], seconds * work[sig] / total, rows[sig] * width if sig in rows else None)
+
+    def _timed(self, s: t.Stmt, work: Callable[[], object]):
+        began = time.perf_counter()
+        got = work()
+        if self.graph is not None and not self.relation(s.ins[0]).df.isStreaming:
+            self._measured(s.ins[0], time.perf_counter() - began)
+        return got
+
     def _streams(self, s: t.Stmt, ins: list[Relation]) -> bool:
         """A GROUP of a live stream is taken on: a FOREACH or ACCUMULATE may run along."""
         return s.kind == "group"
@@ -326,8 +377,8 @@ class Session:
                 return
             inner = Session(self.spark, seed=self.seed, out=self.out, optimize=False)
             inner.functions, inner.operators = self.functions, self.operators
-            alias, schema = deferred[0]
-            inner.relations[alias] = Relation(df, schema)
+            alias, first = deferred[0]
+            inner.relations[alias] = replace(first, df=df, stream=False)
             for s in deferred[1:]:
                 inner.execute(s)
             work(relational.settled(inner.relations[deferred[-1].out]))
@@ -363,11 +414,12 @@ class Session:
         return text
 
     def do_store(self, s):
+        file = s["file"] if (s["using"] or ("",))[0].lower() == "jdbcstorage" else self._placed(s["file"])
         r = self.relation(s.ins[0])
         r = r if r.deferred else relational.settled(r)
         if r.df.isStreaming:
-            return self._batch(r, lambda b: output.store(b, s["file"], s["using"], "append"))
-        output.store(r, s["file"], s["using"], self.mode)
+            return self._batch(r, lambda b: output.store(b, file, s["using"], "append"))
+        output.store(r, file, s["using"], self.mode)
         return None
 
     def do_materialize(self, s):
@@ -378,15 +430,21 @@ class Session:
         if r.schema is None:
             raise ScriptError("MATERIALIZE needs a schema")
         sig = self.signatures[alias]
+        began = time.perf_counter()
         kept = self._store.put(sig, r.df, self.graph.benefit(sig) if self.graph else 0.0)
+        if self.graph is not None:
+            self._measured(alias, time.perf_counter() - began)
+            if sig in self._store.entries:
+                self.graph.sizes[sig] = self._store.entries[sig].size
         if kept is not None:
             self.relations[alias] = self.shared[sig] = replace(r, df=kept.select(*r.df.columns))
         return None
 
     def do_visualize(self, s):
         data = spatial.picture(self.relation(s.ins[0]), s["field"], s["width"], s["height"], self.functions, s["size"])
-        Path(s["file"]).write_bytes(data)
-        return s["file"]
+        file = self._placed(s["file"])
+        Path(file).write_bytes(data)
+        return file
 
     def do_socket_write(self, s):
         import socket

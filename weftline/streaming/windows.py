@@ -38,7 +38,7 @@ def window(r: Relation, size: tuple[str, int], slide: tuple[str, int], watermark
         df = df.withColumn(WINDOW, F.window("_t", f"{size[1]} seconds", f"{slide[1]} seconds"))
         return replace(r, df=df.drop("_t") if not df.isStreaming else df.select(*r.df.columns, WINDOW), window=True)
     if r.df.isStreaming:
-        raise ScriptError("windows by count need a bounded input: read it with Replay(...)")
+        return _live(r, size, slide)
     if size[0] == "rows" and slide[0] == "rows":
         n, step = size[1], slide[1]
         # Without a timestamp rows keep the order that an ORDER or the file gave them.
@@ -66,6 +66,49 @@ def window(r: Relation, size: tuple[str, int], slide: tuple[str, int], watermark
     return replace(r, df=df.select(*r.df.columns, F.struct(F.col("_m").alias("start")).alias(WINDOW)), window=True)
 
 
+def _live(r: Relation, size: tuple[str, int], slide: tuple[str, int]) -> Relation:
+    """Windows that count rows of a live stream, in the order of their times (without times: as they arrive). The stream is one
+    sequence, so one task keeps the rows that may still be needed as state: the last n, or those of the last n seconds. A window's rows
+    come out together when it is full, so that each later step finds whole windows in a micro-batch."""
+    columns = r.columns
+    timed = r.schema is not None and r.schema.timestamp is not None
+    if not timed and "range" in (size[0], slide[0]):
+        raise ScriptError("a RANGE window needs TIMESTAMP(field)")
+    df = r.df.withColumn("_t", (F.unix_micros(moment(r).cast("timestamp")) / 1e6).cast("double") if timed else F.lit(0.0)).withColumn("_one", F.lit(0))
+    out = T.StructType([*[f for f in r.df.schema if f.name in columns], T.StructField("_start", T.LongType())])
+
+    def advance(key, parts, state):
+        import pickle
+
+        import pandas as pd
+
+        rows, count, turn, ready = pickle.loads(state.get[0]) if state.exists else ([], 0, None, 0)
+        part = pd.concat(list(parts), ignore_index=True).sort_values("_t", kind="stable")[["_t", *columns]].astype(object)
+        found = []
+        for row in part.where(part.notna(), None).itertuples(index=False, name=None):
+            if slide[0] == "range":  # the last rows when the clock has gone on to another turn
+                now = row[0] // slide[1]
+                if turn is not None and now != turn:
+                    found += [(*x[1:], ready) for x in rows[-size[1] :]]
+                    ready += 1
+                turn = now
+            rows.append(row)
+            count += 1
+            if slide[0] == "rows" and size[0] == "rows":
+                # Window k holds the rows from k times the slide on.
+                if count >= size[1] and (count - size[1]) % slide[1] == 0:
+                    found += [(*x[1:], (count - size[1]) // slide[1]) for x in rows[-size[1] :]]
+            elif slide[0] == "rows" and count % slide[1] == 0:
+                found += [(*x[1:], count) for x in rows if x[0] > row[0] - size[1]]
+            rows = rows[-size[1] :] if size[0] == "rows" else [x for x in rows if x[0] > row[0] - size[1]] if count % 64 == 0 else rows
+        state.update((pickle.dumps((rows, count, turn, ready)),))
+        yield pd.DataFrame(found, columns=[*columns, "_start"])
+
+    got = df.groupBy("_one").applyInPandasWithState(advance, out, T.StructType([T.StructField("state", T.BinaryType())]), "append", "NoTimeout")
+    got = got.select(*columns, F.struct(F.col("_start").alias("start")).alias(WINDOW))
+    return replace(r, df=got, window=True, whole=True)
+
+
 def _numbered(r: Relation, df: DataFrame, at: str) -> DataFrame:
     """The rows with their position from 0, _n, in the order of a column and then of all others: a sort by ranges, no single task."""
     return indexed(replace(r, df=df.orderBy(at, *[c for c in r.columns if _sortable(r, c)])))
