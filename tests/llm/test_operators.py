@@ -148,7 +148,7 @@ def test_suffix_automaton(known, text):
 def test_clips_cover_each_window_once():
     raw = np.random.default_rng(3).integers(0, 4, 5000).astype(np.uint8)
     ends = np.array([0, 10, 700, 700, 5000])
-    p, first, end, _, row = anchors.clips(lambda a, b: anchors.BYTE_HASH[raw[a:b]], ends, 50, 24)
+    p, first, end, _, row, _ = anchors.clips(lambda a, b: anchors.BYTE_HASH[raw[a:b]], ends, 50, 24)
     windows = sorted(w for a, b in zip(first, end) for w in range(a, b))
     assert windows == [*range(10, 651), *range(700, 4951)]
     assert all(b - 1 <= q <= a + 26 for q, a, b in zip(p, first, end)) and set(row) == {2, 4}

@@ -6,31 +6,39 @@ equal windows among those with equal anchors. Consecutive windows with the same
 2 / (W - k + 2) clips to a symbol.
 
 Documents are dealt into chunks by key once; every later step reads that exchange again.
-A: each chunk sends its distinct anchor hashes, sorted and difference-coded, to shards by hash range.
-B: a shard answers each chunk with a bit for each hash: whether another document or place has it too.
-C: a chunk sends the clips of these anchors only, each distinct one once with its places, as sorted front-coded runs.
+A: each chunk sends its distinct anchor hashes, sorted and difference-coded, to shards by hash range, with a byte that tells differing clips apart.
+B: a shard answers each chunk with bits for each hash: whether another document or place has it too, and whether it is hot, that is, stands in
+more than ``HOT`` differing clips.
+C: a chunk sends the clips of these anchors only, each distinct one once with its places, as sorted front-coded runs. Clips of a
+hot anchor are cut into their windows, which go to shards by their content: a common phrase in ever new surroundings spreads over all shards.
 D: a shard finds out which windows occur earlier and answers with places.
 E: a chunk applies the answers to its texts.
-A common passage costs a chunk one clip, however often it occurs there, so no hash, passage or document grows a task beyond
-the number of chunks. Hash collisions in A and B only add clips; C and D compare content.
+A common passage costs a chunk one clip, however often it occurs there, and no phrase brings more than ``HOT`` differing clips or, beyond
+that, its share of all windows to one shard. Hash collisions in A and B only add clips; C and D compare content.
+
+Chunks grow with the memory that the cluster gives a core; messages between chunks and shards have no frame but their content,
+and a chunk sends a shard none where it has nothing for it. Chunks and shards may be more than the partitions that hold them.
 """
 
 from __future__ import annotations
 
-import pickle
 from array import array
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for
+from .common import parts_for, unused
 
-_CHUNK, _SHARD = "__anchor_chunk", "__anchor_shard"
+#: Differing clips round one anchor from which on windows go by their content; partitions at most, whatever the number of chunks.
+HOT, PARTITIONS = 64, 20_000
+#: MB of stored texts to a chunk for each 1.5 GB of memory that an executor has for a core; the least and the most.
+CHUNK_MB, CHUNK_MB_MOST = 4.0, 64.0
 _TILE, _LOW = 1 << 20, np.uint64((1 << 24) - 1)
 _HASH_BITS = 48
 _RNG = np.random.default_rng(20240607)
@@ -81,8 +89,8 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def clips(symbols: Callable[[int, int], np.ndarray], ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Anchor position, first window, end of windows, hash, and document of each clip. ``symbols(a, b)`` hashes a range of
-    the texts laid end to end; ``ends`` are the texts' ends there."""
+    """Anchor position, first window, end of windows, hash, document, and a byte of each clip, which equal clips share. ``symbols(a, b)``
+    hashes a range of the texts laid end to end; ``ends`` are the texts' ends there."""
     n = int(ends[-1]) if len(ends) else 0
     valid = np.zeros(n + 1, bool)
     start = 0
@@ -101,41 +109,48 @@ def clips(symbols: Callable[[int, int], np.ndarray], ends: np.ndarray, window: i
         end = np.append(first[1:], b - a)
         keep = ok[first]
         first, end = first[keep], end[keep]
-        out.append((at[first] + a, first + a, end + a, h[at[first]] >> np.uint64(64 - _HASH_BITS)))
+        # From the clip's first and last gram and its length.
+        kind = (mixed(h[first] * np.uint64(_M) + h[end - 1 + window - gram] + (end - first).astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+        out.append((at[first] + a, first + a, end + a, h[at[first]] >> np.uint64(64 - _HASH_BITS), kind))
     if not out:
-        return *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    p, first, end, h = (np.concatenate(x) for x in zip(*out))
-    return p, first, end, h, np.searchsorted(ends, first, side="right")
+        return *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    p, first, end, h, kind = (np.concatenate(x) for x in zip(*out))
+    return p, first, end, h, np.searchsorted(ends, first, side="right"), kind
 
 
-def packed(x) -> bytes:
-    return zstandard.compress(pickle.dumps(x, 5), 1)
+def joined(*parts: bytes) -> bytes:
+    """Byte strings as one, compressed where that pays: their number and lengths, then themselves."""
+    raw = np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+    return b"\0" + raw if len(raw) < 200 else b"\1" + zstandard.compress(raw, 1)
 
 
-def unpacked(b: bytes):
-    return pickle.loads(zstandard.decompress(b))
+def parted(blob: bytes) -> list[bytes]:
+    raw = blob[1:] if blob[:1] == b"\0" else zstandard.decompress(blob[1:])
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = 4 * (n + 1) + np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)
+    return [raw[a:b] for a, b in zip([4 * (n + 1), *ends.tolist()], ends.tolist())]
 
 
-def _planes(sorted_hashes: np.ndarray) -> np.ndarray:
+def _planes(sorted_hashes: np.ndarray) -> bytes:
     """Differences by byte planes, which compress well."""
-    return np.ascontiguousarray(np.diff(sorted_hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return np.diff(sorted_hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _HASH_BITS // 8].T.tobytes()
 
 
-def _unplaned(planes: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+def _unplaned(planes: bytes) -> np.ndarray:
+    rows = np.frombuffer(planes, np.uint8).reshape(_HASH_BITS // 8, -1).T
+    return np.cumsum(np.pad(rows, ((0, 0), (0, 8 - _HASH_BITS // 8))).copy().view("<u8").ravel(), dtype=np.uint64)
 
 
 @dataclass
 class Scheme:
-    """What an operator looks for. ``lay(texts)`` gives (bytes of all symbols, symbol hash function, ends in symbols);
-    ``size`` is the bytes of a symbol; ``within``: whether places in one document count as earlier;
+    """What an operator looks for. ``lay(texts)`` gives (all symbols as bytes, symbol hash function, ends of texts in symbols, and where
+    each symbol begins in the bytes, or None where symbols are bytes); ``within``: whether places in one document count as earlier;
     ``solve(runs)`` takes (chunk, run) pairs of a shard and yields (chunk, rows, first windows, end windows)."""
 
     window: int
     gram: int
-    size: int
     within: bool
-    lay: Callable[[list[bytes]], tuple[bytes, Callable[[int, int], np.ndarray], np.ndarray]]
+    lay: Callable[[list[bytes]], tuple[bytes, Callable[[int, int], np.ndarray], np.ndarray, np.ndarray | None]]
     solve: Callable[[list], Iterable[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]
 
 
@@ -154,6 +169,16 @@ class Run:
     rows: np.ndarray
     firsts: np.ndarray
 
+    _ARRAYS = (("shared", "<u4"), ("right_lens", "<u4"), ("left_lens", "<u4"), ("at", "<u4"), ("keys", "<i8"), ("rows", "<u4"), ("firsts", "<u4"))
+
+    def coded(self) -> bytes:
+        return joined(self.rights, self.lefts, *(getattr(self, n).astype(t).tobytes() for n, t in self._ARRAYS))
+
+    @classmethod
+    def of(cls, blob: bytes) -> Run:
+        rights, lefts, *arrays = parted(blob)
+        return cls(rights=rights, lefts=lefts, **{n: np.frombuffer(x, t) for (n, t), x in zip(cls._ARRAYS, arrays)})
+
     def clips(self) -> Iterable[tuple[int, bytes, bytes]]:
         """(length shared with the one before, right, left) of each clip."""
         before, r, le = b"", 0, 0
@@ -182,9 +207,9 @@ def _run(entries: dict[tuple[bytes, bytes], list[int]], keys, rows, firsts) -> R
         rights.append(right[k:])
         lefts.append(left)
         before = right
-    places = [entries[e] for e in order]
+    places = [sorted(entries[e], key=lambda i: (rows[i], firsts[i])) if len(entries[e]) > 1 else entries[e] for e in order]
     flat = np.fromiter((i for p in places for i in p), np.int64, sum(map(len, places)))
-    number = lambda x, t=np.uint16: np.array(x, t)
+    number = lambda x: np.array(x, np.uint32)
     return Run(number(shared), number([len(r) for r, _ in order]), number([len(le) for _, le in order]), b"".join(rights), b"".join(lefts), np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.uint32), keys[flat], rows[flat].astype(np.uint32), firsts[flat].astype(np.uint32))
 
 
@@ -198,9 +223,9 @@ class _Chunk:
         self.table, self.ids, self.texts = t.take(pa.array(order, pa.int64())), ids[order], [texts[i] for i in order]
 
     def find(self, scheme: Scheme):
-        self.raw, symbols, self.ends = scheme.lay(self.texts)
+        self.raw, symbols, self.ends, self.offsets = scheme.lay(self.texts)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
-        self.p, self.first, self.end, self.hash, self.row = clips(symbols, self.ends, scheme.window, scheme.gram)
+        self.p, self.first, self.end, self.hash, self.row, kind = clips(symbols, self.ends, scheme.window, scheme.gram)
         order = np.argsort(self.hash, kind="stable")
         h = self.hash[order]
         begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
@@ -211,18 +236,36 @@ class _Chunk:
         ids = self.ids[self.row[order]] if len(h) else np.zeros(0, np.int64)
         # Rows of a document are in ascending order, so the first and the last place show whether there are two.
         self.repeated = (last > begin) if scheme.within else ids[begin] != ids[last]
+        # A byte of one of each hash's clips, and how many differing bytes there are besides.
+        self.kind = kind[order][begin]
+        pairs = np.unique((self.number << 8) | kind)
+        self.others = (np.bincount(pairs >> 8, minlength=len(begin)) - 1).astype(np.uint8)
 
     def cuts(self, shards: int) -> np.ndarray:
         shard = (self.distinct * np.uint64(shards)) >> np.uint64(_HASH_BITS)
         return np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
 
+    def place(self, symbol: np.ndarray) -> list[int]:
+        """Where symbols begin in the bytes."""
+        return (symbol if self.offsets is None else self.offsets[symbol]).tolist()
+
+
+def chunk_mb(spark) -> float:
+    """MB of stored texts that a chunk may have, by the memory of an executor for each of its tasks."""
+    conf = spark.sparkContext.getConf()
+    jvm = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
+    each = jvm.byteStringAsMb(conf.get("spark.executor.memory", "1g")) / max(1, int(conf.get("spark.executor.cores", "1")) // int(conf.get("spark.task.cpus", "1")))
+    return min(CHUNK_MB_MOST, max(CHUNK_MB, CHUNK_MB * each / 1500)) if not spark.sparkContext.master.startswith("local") else CHUNK_MB
+
 
-def apply(docs: DataFrame, scheme: Scheme, finish: Callable[[pa.Table, list[bytes], list[np.ndarray]], pa.Table], ddl: str, key: str, text: str, chunk_mb: float = 4.0) -> DataFrame:
+def apply(docs: DataFrame, scheme: Scheme, finish: Callable[[pa.Table, list[bytes], list[np.ndarray]], pa.Table], ddl: str, key: str, text: str) -> DataFrame:
     """``finish`` gets a chunk's rows, their texts, and for each row the (first, end) window ranges that occur earlier."""
     spark = docs.sparkSession
-    chunks = parts_for(docs, chunk_mb, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunks = parts_for(docs, chunk_mb(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
     shards = min(chunks, 60_000)
-    dealt = docs.withColumn(_CHUNK, F.pmod(F.xxhash64(F.col(key)), F.lit(chunks)).cast("int")).repartition(chunks, _CHUNK)
+    _CHUNK, _SHARD = unused(docs, "__anchor_chunk", "__anchor_shard")
+    dealt = docs.withColumn(_CHUNK, F.pmod(F.xxhash64(F.col(key)), F.lit(chunks)).cast("int")).repartition(min(chunks, PARTITIONS), _CHUNK)
+    window = scheme.window
 
     def hashes(t: pa.Table) -> pa.Table:
         chunk = _Chunk(t, key, text)
@@ -230,56 +273,71 @@ def apply(docs: DataFrame, scheme: Scheme, finish: Callable[[pa.Table, list[byte
         cuts, out = chunk.cuts(shards), []
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[s], cuts[s + 1]
-            out.append((s, t.column(_CHUNK)[0].as_py(), packed((_planes(chunk.distinct[a:b]), np.packbits(chunk.repeated[a:b])))))
+            out.append((s, t.column(_CHUNK)[0].as_py(), joined(_planes(chunk.distinct[a:b]), np.packbits(chunk.repeated[a:b]).tobytes(), chunk.kind[a:b].tobytes(), chunk.others[a:b].tobytes())))
         return pa.table({"shard": pa.array([o[0] for o in out], pa.int32()), "chunk": pa.array([o[1] for o in out], pa.int32()), "blob": pa.array([o[2] for o in out], pa.binary())})
 
     def answer(t: pa.Table) -> pa.Table:
-        all_, flags = [], []
-        for blob in t.column("blob").to_pylist():
-            planes, bits = unpacked(blob)
-            all_.append(_unplaned(planes))
-            flags.append(np.unpackbits(bits, count=len(all_[-1])).astype(bool))
-        h, flag = np.concatenate(all_), np.concatenate(flags)
+        sent = [parted(blob) for blob in t.column("blob").to_pylist()]
+        each = [_unplaned(x[0]) for x in sent]
+        h = np.concatenate(each)
+        flag = np.concatenate([np.unpackbits(np.frombuffer(x[1], np.uint8), count=len(e)) for x, e in zip(sent, each)]).astype(bool)
+        kind, others = (np.frombuffer(b"".join(x[i] for x in sent), np.uint8) for i in (2, 3))
         order = np.argsort(h, kind="stable")
         begin = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
         sizes = np.diff(np.append(begin, len(h)))
-        wanted = np.zeros(len(h), bool)
+        wanted, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
         wanted[order] = np.repeat((sizes > 1) | np.logical_or.reduceat(flag[order], begin), sizes)
-        parts = np.split(wanted, np.cumsum([len(x) for x in all_])[:-1])
-        return pa.table({_CHUNK: t.column("chunk"), _SHARD: t.column("shard"), "blob": pa.array([packed((len(p), np.packbits(p))) for p in parts], pa.binary())})
+        kinds = np.bincount(np.unique((np.repeat(np.arange(len(begin)), sizes) << 8) | kind[order]) >> 8) + np.add.reduceat(others[order].astype(np.int64), begin)
+        hot[order] = np.repeat(kinds > HOT, sizes)
+        cut = np.cumsum([len(x) for x in each])[:-1]
+        parts = [np.packbits(w).tobytes() + (np.packbits(x).tobytes() if x.any() else b"") for w, x in zip(np.split(wanted, cut), np.split(hot, cut))]
+        return pa.table({_CHUNK: t.column("chunk"), _SHARD: t.column("shard"), "blob": pa.array(parts, pa.binary())})
 
     def send(t: pa.Table, answers: pa.Table) -> pa.Table:
         out: list[tuple[int, int, bytes]] = []
         if t.num_rows and answers.num_rows:
             chunk = _Chunk(t, key, text)
             chunk.find(scheme)
-            cuts, wanted = chunk.cuts(shards), np.zeros(len(chunk.distinct), bool)
-            for s, blob in zip(answers.column(_SHARD).to_pylist(), answers.column("blob").to_pylist()):
-                n, bits = unpacked(blob)
-                if n != cuts[s + 1] - cuts[s]:
+            cuts, wanted, hot = chunk.cuts(shards), np.zeros(len(chunk.distinct), bool), np.zeros(len(chunk.distinct), bool)
+            for s, bits in zip(answers.column(_SHARD).to_pylist(), answers.column("blob").to_pylist()):
+                n = int(cuts[s + 1] - cuts[s])
+                if len(bits) not in ((n + 7) // 8, (n + 7) // 8 * 2):
                     raise RuntimeError("a chunk's texts changed between steps")
-                wanted[cuts[s] : cuts[s + 1]] = np.unpackbits(bits, count=n)
+                bits, width = np.frombuffer(bits, np.uint8), (n + 7) // 8
+                wanted[cuts[s] : cuts[s + 1]] = np.unpackbits(bits[:width], count=n)
+                if len(bits) > width:
+                    hot[cuts[s] : cuts[s + 1]] = np.unpackbits(bits[width:], count=n)
             some = np.flatnonzero(wanted[chunk.number])
             some = some[np.argsort(chunk.number[some], kind="stable")]
-            keys, rows, firsts = chunk.ids[chunk.row[some]], chunk.row[some], chunk.first[some] - chunk.starts[chunk.row[some]]
-            size, raw = scheme.size, chunk.raw
-            a, p, b = ((x[some] * size).tolist() for x in (chunk.first, chunk.p, chunk.end + (scheme.window - 1)))
-            of_shard = np.searchsorted(cuts, chunk.number[some], side="right") - 1
-            bounds = np.flatnonzero(np.concatenate([[True], np.diff(of_shard) != 0])).tolist() if len(some) else []
-            for x, y in zip(bounds, [*bounds[1:], len(some)]):
-                entries: dict[tuple[bytes, bytes], list[int]] = {}
-                for i in range(x, y):
-                    entries.setdefault((raw[p[i] : b[i]], raw[a[i] : p[i]]), []).append(i)
-                out.append((int(of_shard[x]), t.column(_CHUNK)[0].as_py(), packed(_run(entries, keys, rows, firsts))))
+            cold, warm = some[~hot[chunk.number[some]]], some[hot[chunk.number[some]]]
+            raw, number = chunk.raw, t.column(_CHUNK)[0].as_py()
+            runs: dict[int, dict[tuple[bytes, bytes], list[int]]] = {}
+            a, p, b = chunk.place(chunk.first[cold]), chunk.place(chunk.p[cold]), chunk.place(chunk.end[cold] + (window - 1))
+            for i, s in enumerate((np.searchsorted(cuts, chunk.number[cold], side="right") - 1).tolist()):
+                entries = runs.get(s)
+                if entries is None:
+                    entries = runs[s] = {}
+                entries.setdefault((raw[p[i] : b[i]], raw[a[i] : p[i]]), []).append(i)
+            # Each window of a hot anchor by itself, in the shard of its content.
+            lens = chunk.end[warm] - chunk.first[warm]
+            of = np.repeat(warm, lens)
+            first = np.repeat(chunk.first[warm], lens) + np.arange(len(of)) - np.repeat(np.cumsum(lens) - lens, lens)
+            a, p, b = chunk.place(first), chunk.place(chunk.p[of]), chunk.place(first + window)
+            for i in range(len(of)):
+                x = raw[a[i] : b[i]]
+                runs.setdefault(xxhash.xxh3_64_intdigest(x) * shards >> 64, {}).setdefault((x[p[i] - a[i] :], x[: p[i] - a[i]]), []).append(len(cold) + i)
+            at, first = np.concatenate([cold, of]), np.concatenate([chunk.first[cold], first])
+            keys, rows, firsts = chunk.ids[chunk.row[at]], chunk.row[at], first - chunk.starts[chunk.row[at]]
+            out = [(s, number, _run(entries, keys, rows, firsts).coded()) for s, entries in sorted(runs.items())]
         return pa.table({"shard": pa.array([o[0] for o in out], pa.int32()), "chunk": pa.array([o[1] for o in out], pa.int32()), "blob": pa.array([o[2] for o in out], pa.binary())})
 
     def solve(t: pa.Table) -> pa.Table:
-        found = list(scheme.solve([(c, unpacked(b)) for c, b in zip(t.column("chunk").to_pylist(), t.column("blob").to_pylist())]))
-        return pa.table({_CHUNK: pa.array([f[0] for f in found], pa.int32()), "blob": pa.array([packed([np.asarray(x, np.uint32) for x in f[1:]]) for f in found], pa.binary())})
+        found = list(scheme.solve([(c, Run.of(b)) for c, b in zip(t.column("chunk").to_pylist(), t.column("blob").to_pylist())]))
+        return pa.table({_CHUNK: pa.array([f[0] for f in found], pa.int32()), "blob": pa.array([joined(*(np.asarray(x, "<u4").tobytes() for x in f[1:])) for f in found], pa.binary())})
 
     def end(t: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = _Chunk(t, key, text)
-        parts = [unpacked(b) for b in answers.column("blob").to_pylist()]
+        parts = [[np.frombuffer(x, "<u4") for x in parted(b)] for b in answers.column("blob").to_pylist()]
         ranges = [np.zeros((0, 2), np.int64)] * len(chunk.texts)
         if parts:
             row, first, last = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(3))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import delete as delete
+from ..shared import scratch as scratch
+from ..shared import written as written
+
 #: Word separators of all operators that split text into words: blank and U+0009 to U+000D.
 SEPARATORS = " \t\n\x0b\x0c\r"
 
@@ -37,18 +40,16 @@ def spread(df: DataFrame, mb_each: float = 16.0) -> DataFrame:
     return df.repartition(cores) if plan_bytes(df) < cores * mb_each * 1e6 else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set here only where the session names none, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/weftline-checkpoints")
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through files in the shared folder, so that lost executors cost no data."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as make it no column of the table."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def slices(sizes, budget: int):
@@ -63,14 +64,6 @@ def slices(sizes, budget: int):
         yield start, len(sizes)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: computed once, safe from lost executors, small on disk."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices_of(batch, at: int, budget: int = 4_000_000):
     """Slices of an Arrow batch with at most ``budget`` bytes of text in column ``at``, unless one text alone has more."""
     sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import delete, scratch
 
 
 class UnionFind:
@@ -82,11 +82,20 @@ def components(links: DataFrame, stars: bool = False) -> DataFrame:
     the driver."""
     a, b = links.columns
     plain = links.select(F.greatest(a, b).cast("bigint").alias("u"), F.least(a, b).cast("bigint").alias("v")).where("u <> v")
-    edges = written((plain if stars else contracted(links)).distinct())
-    before = None
+    spark, before, paths = links.sparkSession, None, []
+
+    def kept(df: DataFrame) -> DataFrame:
+        """A round as a table; the one before the last is no longer needed."""
+        paths.append(scratch(spark))
+        df.write.parquet(paths[-1])
+        if len(paths) > 1:
+            delete(spark, paths[-2])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    edges = kept((plain if stars else contracted(links)).distinct())
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
         before = state
-        edges = written(_small_star(_large_star(edges).distinct()).distinct())
+        edges = kept(_small_star(_large_star(edges).distinct()).distinct())

@@ -5,7 +5,7 @@ is a reference of its own: a suffix automaton grows over its distinct clips in t
 is streamed through it before it is added. Where its matching statistics reach the window length, that window occurs
 earlier. All later places of a clip lose all its windows.
 
-Words are compared by 64-bit hashes of their bytes. Defined results: a null text has no words. Rows with equal ids
+Hashes of words choose anchors alone; clips are sent as their words, and words are compared by their bytes. Defined results: a null text has no words. Rows with equal ids
 count as documents in the order of their texts, a null id as the largest. Texts of fewer words than the window stay whole.
 """
 
@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from .anchors import _M, BYTE_HASH, Places, Run, Scheme, apply, covered, mixed, powers, ranges_of
 
 WINDOW, GRAM = 20, 8
-_WORD = 8
 _INVERSE = pow(_M, -1, 1 << 64)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
@@ -82,20 +81,21 @@ def solve(runs: list[tuple[int, Run]], window: int = WINDOW, gram: int = GRAM):
     for chunk, run in runs:
         at = run.at.tolist()
         for i, (_, right, left) in enumerate(run.clips()):
-            groups.setdefault(right[: gram * _WORD], {}).setdefault(left + right, []).append((chunk, run, at[i], at[i + 1]))
+            groups.setdefault(b" ".join(right.split(b" ", gram)[:gram]), {}).setdefault(left + right, []).append((chunk, run, at[i], at[i + 1]))
     out = Places()
     place = lambda p: (int(p[1].keys[p[2]]), int(p[1].rows[p[2]]), int(p[1].firsts[p[2]]))
     for clips in groups.values():
         if len(clips) == 1 and sum(b - a for ps in clips.values() for _, _, a, b in ps) == 1:
             continue
-        automaton = SuffixAutomaton() if len(clips) > 1 else None
-        for _, clip, places in sorted((min(map(place, ps)), clip, ps) for clip, ps in clips.items()) if automaton else [(None, *next(iter(clips.items())))]:
-            windows = len(clip) // _WORD - window + 1
+        # Each word is followed by a blank. Clips of one window each share none, unless they are equal.
+        automaton = SuffixAutomaton() if len(clips) > 1 and any(clip.count(b" ") > window for clip in clips) else None
+        for _, clip, places in sorted((min(map(place, ps)), clip, ps) for clip, ps in clips.items()) if automaton else [(None, *x) for x in clips.items()]:
+            windows = clip.count(b" ") - window + 1
             first = min(places, key=place)
             for p in places:  # a run's places are in ascending order
                 out.add(p[0], p[1], p[2] + (p is first), p[3], 0, windows)
             if automaton:
-                words = np.frombuffer(clip, np.uint64).tolist()
+                words = clip.split()
                 found = automaton.statistics(words)
                 for x, y in ranges_of([n >= window for n in found[window - 1 :]]):
                     out.add(first[0], first[1], first[2], first[2] + 1, x, y)
@@ -103,12 +103,14 @@ def solve(runs: list[tuple[int, Run]], window: int = WINDOW, gram: int = GRAM):
     return out
 
 
-def word_hashes(text: bytes) -> np.ndarray:
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in bytes."""
+    edge = np.diff(np.concatenate([[True], _SEPARATOR[data], [True]]).astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each word's bytes, from differences of one running polynomial."""
-    data = np.frombuffer(text, np.uint8)
-    gap = _SEPARATOR[data]
-    edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     out = []
     # In tiles that end between words, so that the powers of a tile are enough; a longer word makes a longer tile.
     i = 0
@@ -123,13 +125,20 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 
 def _lay(texts: list[bytes]):
-    # A separator between texts keeps their words apart; each text's words are counted on their own.
-    hashes = word_hashes(b" ".join(texts))
-    ends = np.cumsum([len(t.split()) for t in texts]).astype(np.int64)
-    return hashes.tobytes(), lambda a, b: hashes[a:b], ends
-
-
-SCHEME = Scheme(WINDOW, GRAM, _WORD, True, _lay, solve)
+    # A separator behind each text keeps its words apart from the next one's.
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    starts, ends = _words(data)
+    hashes = word_hashes(data, starts, ends)
+    # The words, each with one blank behind it.
+    kept = ~_SEPARATOR[data]
+    kept[ends] = True
+    raw = np.where(_SEPARATOR[data], np.uint8(32), data)[kept].tobytes()
+    offsets = np.concatenate([[0], np.cumsum(ends - starts + 1)]).astype(np.int64)
+    until = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])).astype(np.int64)
+    return raw, lambda a, b: hashes[a:b], until, offsets
+
+
+SCHEME = Scheme(WINDOW, GRAM, True, _lay, solve)
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:

@@ -3,8 +3,9 @@
 Suffixes start at the anchors of 50-byte windows (see ``anchors``): each chunk sorts its own, drops those that no
 other document can share, and sends front-coded runs to shards. A shard merges its runs with a loser tree whose
 players know how much of the last winner they share; only bytes behind that are ever compared. Suffixes that share their anchor come
-out of the merge together. Where all their clips are equal, the smallest document keeps the bytes and all others lose
-them; otherwise every window of these clips goes to its smallest document.
+out of the merge together, each with the length of the prefix it shares with the one before. A window that begins j bytes before the
+anchor is common to neighbours while they share 50 - j bytes, so runs of neighbours by these lengths, split by the j bytes before the anchor,
+are the suffixes with equal windows; their smallest document keeps the window and all others lose it.
 
 Defined results: a null text is empty. Rows with equal ids remove nothing from each other; a null id counts as the
 largest. Texts shorter than the window stay whole. The text of ``cleaned`` drops bytes of a character that was cut in two.
@@ -86,48 +87,59 @@ def _players(chunk: int, run: Run):
         yield shared, right, (left, chunk, run, at[i], at[i + 1])
 
 
+def earliest(group: list[tuple[int, bytes, tuple]], window: int, gram: int) -> list[list[int]]:
+    """For each clip of a sorted group, the smallest document that has each of its windows. Entries are (prefix shared with the one
+    before, right part, (left part, chunk, run, first place, end of places))."""
+    lefts = [p[0] for _, _, p in group]
+    own = [int(p[2].keys[p[3]]) for _, _, p in group]
+    least = [[k] * (len(left) + len(right) - window + 1) for k, left, (_, right, _) in zip(own, lefts, group)]
+    n = len(group)
+    for j in range(window - gram + 1 if n > 1 else 0):
+        need, i = window - j, 0
+        while i < n:
+            end = i + 1
+            while end < n and group[end][0] >= need:
+                end += 1
+            if end - i > 1:
+                found: dict[bytes, int] = {}
+                members = []
+                for k in range(i, end):
+                    left = lefts[k]
+                    if len(left) >= j and len(group[k][1]) >= need:
+                        tail = left[len(left) - j :]
+                        if found.get(tail, own[k] + 1) > own[k]:
+                            found[tail] = own[k]
+                        members.append((k, len(left) - j, tail))
+                for k, x, tail in members:
+                    least[k][x] = found[tail]
+            i = end
+    return least
+
+
 def solve(runs: list[tuple[int, Run]], window: int = WINDOW, gram: int = GRAM):
     out = Places()
 
-    def settle(group: list[tuple[bytes, tuple]]) -> None:
-        if len(group) == 1 and group[0][1][4] - group[0][1][3] == 1:
-            return
-        right, left = group[0][0], group[0][1][0]
-        if all(r == right and p[0] == left for r, p in group):
-            least = min(int(run.keys[a]) for _, (_, _, run, a, _) in group)
-            windows = len(left) + len(right) - window + 1
-            for _, (_, chunk, run, a, b) in group:
-                a += int(np.searchsorted(run.keys[a:b], least, side="right"))
-                out.add(chunk, run, a, b, 0, windows)
+    def settle(group: list[tuple[int, bytes, tuple]]) -> None:
+        if len(group) == 1 and group[0][2][4] - group[0][2][3] == 1:
             return
-        least_of: dict[bytes, int] = {}
-        cut = []
-        for right, (left, chunk, run, a, b) in group:
-            clip, key = left + right, int(run.keys[a])
-            own = [clip[i : i + window] for i in range(len(clip) - window + 1)]
-            cut.append(own)
-            for w in own:
-                if least_of.get(w, key + 1) > key:
-                    least_of[w] = key
-        for own, (_, (_, chunk, run, a, b)) in zip(cut, group):
-            least = [least_of[w] for w in own]
-            top = max(least)
-            keys = run.keys[a:b]
+        for least, (_, _, (left, chunk, run, a, b)) in zip(earliest(group, window, gram), group):
+            keys, top = run.keys[a:b], max(least)
             behind = int(np.searchsorted(keys, top, side="right"))
-            out.add(chunk, run, a + behind, b, 0, len(own))  # larger than every window's smallest document
+            out.add(chunk, run, a + behind, b, 0, len(least))  # larger than every window's smallest document
             i = 0
             while i < behind:
                 j = int(np.searchsorted(keys, keys[i], side="right"))
-                for x, y in ranges_of([x < keys[i] for x in least]):
-                    out.add(chunk, run, a + i, a + j, x, y)
+                if min(least) < keys[i]:
+                    for x, y in ranges_of([x < keys[i] for x in least]):
+                        out.add(chunk, run, a + i, a + j, x, y)
                 i = j
 
-    group: list[tuple[bytes, tuple]] = []
+    group: list[tuple[int, bytes, tuple]] = []
     for shared, right, payload in LoserTree([iter(_players(c, r)) for c, r in runs]):
         if group and shared < gram:
             settle(group)
             group = []
-        group.append((right, payload))
+        group.append((shared, right, payload))
     if group:
         settle(group)
     return out
@@ -136,10 +148,10 @@ def solve(runs: list[tuple[int, Run]], window: int = WINDOW, gram: int = GRAM):
 def _lay(texts: list[bytes]):
     raw = b"".join(texts)
     data = np.frombuffer(raw, np.uint8)
-    return raw, lambda a, b: BYTE_HASH[data[a:b]], np.cumsum([len(t) for t in texts]).astype(np.int64)
+    return raw, lambda a, b: BYTE_HASH[data[a:b]], np.cumsum([len(t) for t in texts]).astype(np.int64), None
 
 
-SCHEME = Scheme(WINDOW, GRAM, 1, False, _lay, solve)
+SCHEME = Scheme(WINDOW, GRAM, False, _lay, solve)
 
 
 def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
