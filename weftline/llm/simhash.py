@@ -3,8 +3,10 @@
 A fingerprint has a bit where over half of the document's shingle hashes have it. Distinct fingerprints are searched by
 Hamming distance: a tree of vantage points, built from a bounded sample, deals them out to shards. A fingerprint on the near side
 of a vantage point's radius goes to the far side too if it lies within the search radius of the boundary; by the triangle
-inequality any linked pair then meets in a shard. Each shard builds its own vantage-point tree with the same rule
-down to small leaves, whose pairs are compared exactly. Links become stars before they leave a shard, and components of the
+inequality any linked pair then meets in a shard. Radii are placed where the copies make the work grow least. Fingerprints without structure leave
+triangle bounds little to prune: n of them become about n ** 1.5 in leaves, against n ** 2 for all pairs, so shards are large and few. A shard that
+no radius cuts and that holds more than others is cut into blocks by hash, and pairs of blocks are tasks. Each task builds its own vantage-point tree with the same rule
+down to small leaves, whose pairs are compared exactly. Links become stars before they leave a task, and components of the
 whole are found from these.
 
 Defined results: a null text, or one without words, has fingerprint zero and links like any other. Shingles include
@@ -18,18 +20,19 @@ import math
 import random
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, text_slices, written
+from .common import spread, text_slices, unused, written
 from .components import UnionFind, components
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: Fingerprints to a shard; fingerprints of the sample to a shard, and in all at most.
-SHARD, SAMPLE_EACH, SAMPLE = 8192, 48, 1 << 18
+SHARD, SAMPLE_EACH, SAMPLE = 1 << 16, 256, 1 << 20
+#: Shards of more than ``CROWDED`` times ``SHARD`` fingerprints are cut into blocks of twice as many.
+CROWDED = 3
 #: Ids that a broadcast may hold, of about 16 bytes each. More are joined by an exchange.
 BROADCAST_IDS = 2_000_000
 _LEAF = 160
@@ -76,37 +79,54 @@ def _sides(x: np.ndarray, point: np.uint64, radius: int, distance: int) -> tuple
     return d <= radius, d > radius - distance
 
 
-def build(sample: np.ndarray, depth: int, rng: random.Random):
-    """A tree of (vantage point, radius, near, far) down to ``depth``; None for a leaf."""
-    if depth == 0 or len(sample) < 2:
+def radius(d: np.ndarray, distance: int) -> tuple[float, int] | None:
+    """The radius whose cut lets the work grow least, and the power a of that growth: with shares p and f of the two sides, copies
+    included, p ** a + f ** a is 1. None where comparing all pairs (a power of 2) is as good. Each side loses a twentieth at least."""
+    upto = np.cumsum(np.bincount(d, minlength=65)) / len(d)
+    near, far = upto, 1 - np.concatenate([np.zeros(distance), upto[:-distance]])
+    some = np.flatnonzero((near > 0) & (near <= 0.95) & (far <= 0.95) & (near * near + far * far < 1))
+    if not len(some):
         return None
-    point = sample[rng.randrange(len(sample))]
-    d = np.bitwise_count(sample ^ point)
-    radius = int(np.median(d))
-    near = d <= radius
-    if near.all():
-        radius = int(d.max()) - 1
-        near = d <= radius
-    return point, radius, build(sample[near], depth - 1, rng), build(sample[~near], depth - 1, rng)
+    near, far, low, high = near[some], far[some], np.ones(len(some)), np.full(len(some), 2.0)
+    for _ in range(8):
+        a = (low + high) / 2
+        over = near**a + far**a > 1
+        low, high = np.where(over, a, low), np.where(over, high, a)
+    best = int(high.argmin())
+    return float(high[best]), int(some[best])
+
+
+def build(sample: np.ndarray, each: int, distance: int, rng: random.Random):
+    """A tree of (vantage point, radius, near, far) down to parts of about ``each``, copies included; None for a leaf."""
+    if len(sample) <= 1.5 * each:
+        return None
+    found = []
+    for _ in range(4):
+        point = sample[rng.randrange(len(sample))]
+        if got := radius(np.bitwise_count(sample ^ point), distance):
+            found.append((*got, point))
+    if not found:
+        return None
+    _, r, point = min(found, key=lambda f: f[:2])
+    near, far = _sides(sample, point, r, distance)
+    return point, r, build(sample[near], each, distance, rng), build(sample[far], each, distance, rng)
 
 
 def leaves(tree, x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Index and leaf number of each fingerprint, once for each leaf that it must reach."""
     at, out = [], []
-
-    def walk(node, idx: np.ndarray, code: int) -> None:
-        if not len(idx):
-            return
+    # Nodes are numbered in the order of this walk, so a leaf has the same number for every batch.
+    todo, number = [(tree, np.arange(len(x)))], 0
+    while todo:
+        node, idx = todo.pop()
+        number += 1
         if node is None:
             at.append(idx)
-            out.append(np.full(len(idx), code, np.int64))
-            return
-        point, radius, near, far = node
-        a, b = _sides(x[idx], point, radius, distance)
-        walk(near, idx[a], 2 * code)
-        walk(far, idx[b], 2 * code + 1)
-
-    walk(tree, np.arange(len(x)), 1)
+            out.append(np.full(len(idx), number, np.int64))
+            continue
+        point, r, near, far = node
+        a, b = _sides(x[idx], point, r, distance)
+        todo += [(far, idx[b]), (near, idx[a])]
     return (np.concatenate(at), np.concatenate(out)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
@@ -122,26 +142,21 @@ def stars(x: np.ndarray, distance: int, seed: int = 1) -> list[tuple[int, int]]:
                 p, q = np.nonzero(np.bitwise_count(x[rows][:, None] ^ x[columns][None, :]) <= distance)
                 if a == b:
                     p, q = p[p < q], q[p < q]
-                while len(p):  # join each row with one partner at a time, dropping pairs that are joined already
-                    first = np.unique(p, return_index=True)[1]
-                    for i, j in zip(rows[p[first]].tolist(), columns[q[first]].tolist()):
-                        sets.join(i, j)
-                    roots = {i: sets.find(i) for i in {*rows[p].tolist(), *columns[q].tolist()}}
-                    apart = np.fromiter((roots[i] != roots[j] for i, j in zip(rows[p].tolist(), columns[q].tolist())), bool, len(p))
-                    p, q = p[apart], q[apart]
-
-    def split(idx: np.ndarray, depth: int) -> None:
+                sets.join_all(rows[p], columns[q])
+
+    def split(idx: np.ndarray) -> None:
         if len(idx) <= _LEAF:
             return exact(idx)
         point = x[idx[rng.randrange(len(idx))]]
         part = x[idx]
-        near, far = _sides(part, point, int(np.median(np.bitwise_count(part ^ point))), distance)
-        if near.sum() + far.sum() > 1.6 * len(idx) or depth > 40:  # a cluster that no radius cuts
+        got = radius(np.bitwise_count(part ^ point), distance)
+        if got is None:  # a cluster that no radius cuts
             return exact(idx)
-        split(idx[near], depth + 1)
-        split(idx[far], depth + 1)
+        near, far = _sides(part, point, got[1], distance)
+        split(idx[near])
+        split(idx[far])
 
-    split(np.arange(len(x)), 0)
+    split(np.arange(len(x)))
     return [(i, r) for i in list(sets.parent) if (r := sets.find(i)) != i]
 
 
@@ -150,11 +165,13 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
     fps = written(fingerprints(docs, key, text, shingle))
     distinct = written(fps.groupBy("fp").agg(F.min(key).cast("bigint").alias("rep")))
     some = distinct.where("rep IS NOT NULL")
-    shards = max(1, math.ceil(distinct.count() / SHARD))
+    total = some.count()
+    shards = max(1, math.ceil(total / SHARD))
     wanted = min(SAMPLE, SAMPLE_EACH * shards)
-    # A bounded sample: at most SAMPLE fingerprints reach the driver, to place vantage points.
-    sample = np.array([r.fp for r in some.orderBy(F.xxhash64("fp", F.lit(SEED))).select("fp").limit(wanted).collect()], np.int64).view(np.uint64)
-    tree = build(sample, max(0, math.ceil(math.log2(shards))), random.Random(SEED))
+    # A bounded sample, to place vantage points: a share by hash, and at most twice SAMPLE fingerprints reach the driver.
+    share = some.where(F.shiftrightunsigned(F.xxhash64("fp", F.lit(SEED)), 1) < F.lit(min((1 << 63) - 1, int((1 << 63) * min(1.0, wanted / max(1, total)))))).select("fp").limit(2 * SAMPLE)
+    sample = np.sort(share.toArrow().column(0).to_numpy()).view(np.uint64)
+    tree = build(sample, max(16, len(sample) // shards), distance, random.Random(SEED)) if shards > 1 else None
 
     def deal(batches):
         for batch in batches:
@@ -163,14 +180,20 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
             taken = batch.take(pa.array(at))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(shard)], names=["fp", "rep", "shard"])
 
-    def search(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values("rep", ignore_index=True)
-        rep = shard["rep"].to_numpy()
-        found = np.array(stars(shard["fp"].to_numpy().view(np.uint64), distance), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": rep[found[:, 0]], "b": rep[found[:, 1]]})
+    dealt = written(some.select("fp", "rep").mapInArrow(deal, "fp bigint, rep bigint, shard bigint"))
+    # A row for each crowded leaf of the tree, which the driver made from its bounded sample.
+    crowded = dealt.groupBy("shard").count().where(F.col("count") > CROWDED * SHARD).select("shard", F.ceil(F.col("count") / (2 * SHARD)).cast("int").alias("parts"))
+    dealt = dealt.join(F.broadcast(crowded), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    dealt = dealt.select("shard", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp", "rep")
+
+    def search(task: pa.Table) -> pa.Table:
+        task = task.sort_by("rep")
+        rep = task.column("rep").to_numpy()
+        found = np.array(stars(task.column("fp").to_numpy().view(np.uint64), distance), np.int64).reshape(-1, 2)
+        return pa.table({"a": rep[found[:, 0]], "b": rep[found[:, 1]]})
 
-    dealt = some.select("fp", "rep").mapInArrow(deal, "fp bigint, rep bigint, shard bigint")
-    links = dealt.groupBy("shard").applyInPandas(search, "a bigint, b bigint")
+    links = dealt.groupBy("shard", "i", "j").applyInArrow(search, "a bigint, b bigint")
     joined = components(links, stars=True)
     classes = distinct.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return fps.join(classes, "fp").select(key, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -178,7 +201,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """The documents with all their columns, of each group only the one with the smallest id."""
-    gone = written(groups(docs, key, text, distance, shingle).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct())
+    (name,) = unused(docs, "__gone")
+    gone = written(groups(docs, key, text, distance, shingle).where(F.col(key) != F.col("component_id")).select(F.col(key).alias(name)).distinct())
     # Either way texts are only streamed past the ids, not sorted.
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
-    return docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs[key] == F.col(name), "left_anti")
