@@ -2,8 +2,8 @@
 
 Two kinds of units are weighed. Notices: lines that speak of licences, anywhere in a text, the whole of a file whose name says that
 it is a licence, and what is cut out of lines and of blocks (such lines with the two after each, joined where they touch): runs
-of words that notices use, between sentence ends, or with up to ``GAP`` other words left out between two of them. Their document frequencies come from all
-notice units of the table and ``TEMPLATES``; each takes the template of largest cosine, if it reaches the threshold, which is higher for cuts.
+of words that notices use, between sentence ends, or with up to ``GAP`` other words left out between two of them. The document frequencies of all
+their words come from all notice units of the table and ``TEMPLATES``; each takes the template of largest cosine, if it reaches the threshold, which is higher for cuts.
 Whole texts: of files named so, of those whose licence lines make up ``TEXT_SHARE`` of them or that have ``TEXT_START``, without their copyright lines. They are
 held against whole licences (``licence_texts``), with frequencies of those alone, so that no cosine depends on the size of the table.
 A file's own licence is that of its whole text, else that of its best notice; a reservation of rights counts where nothing is granted.
@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import spread, written
 
+#: Words that a broadcast may hold, of about 40 bytes each. More are joined by an exchange.
+BROADCAST_WORDS = 500_000
+
 #: Short notices by licence: what headers and licence files say of themselves.
 TEMPLATES = {
     "MIT": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "spdx-license-identifier mit", "licensed under the mit license"],
@@ -99,7 +102,7 @@ def _whole(base: DataFrame) -> DataFrame:
     # One row for each word of the licences, with its share in each of them.
     sides = weighed.join(F.broadcast(norms), "licence").groupBy("word").agg(F.first("idf").alias("idf"), *[F.sum(F.when(F.col("licence") == i, F.col("tw") / F.col("tn")).otherwise(0.0)).alias(f"s{i}") for i in range(len(texts))])
     rare = F.log(F.lit(len(texts) + 1.0)) - F.log(F.lit(2.0)) + 1.0
-    words = base.where("full IS NOT NULL").select("row", "full").dropDuplicates(["row"]).select("row", F.explode(_words(F.regexp_replace("full", COPYRIGHT_LINE, ""))).alias("word"))
+    words = base.where("full IS NOT NULL").select("row", F.explode(_words(F.regexp_replace("full", COPYRIGHT_LINE, ""))).alias("word"))
     words = words.groupBy("row", "word").agg(F.count("*").alias("tf")).join(F.broadcast(sides), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare))
     dots = words.groupBy("row").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("un"), *[F.coalesce(F.sum(F.col("w") * F.col(f"s{i}")), F.lit(0.0)).alias(f"d{i}") for i in range(len(texts))])
     near = F.array_min(F.array(*[F.struct((-F.round(F.col(f"d{i}") / F.col("un"), 9)).alias("c"), F.lit(name).alias("licence")) for i, name in enumerate(texts)]))
@@ -122,17 +125,18 @@ def scan(files: DataFrame, path: Column | str, key: str = "doc_id", text: str =
     base = base.select("*", F.transform(F.concat(units, F.when(F.col("named") & (F.size("lines") == 1), F.array().cast("array<string>")).otherwise(F.col("cued"))), lambda x: F.array_join(_words(x), " ")).alias("uncut"))
     cuts = F.when(F.size("cued") > 0, _cuts(F.col("lines"), F.col("cues"))).otherwise(F.array().cast("array<string>"))
     base = base.select("*", F.concat("uncut", F.array_except(cuts, F.col("uncut"))).alias("units"), F.size("uncut").alias("n_uncut"), F.when(F.col("named") | F.col("t").rlike(TEXT_START) | (F.size("cued") > 0) & (F.col("cued_size") >= TEXT_SHARE * F.col("size")), F.col("t")).alias("full"))
-    base = base.select(F.xxhash64("key", "path", "units", "size", "full").alias("row"), "key", "path", "named", "units", "n_uncut", "full", "size", (~F.col("named") & (F.col("cued_size") >= FILE_SHARE * F.col("size")) & (F.size("cued") > 0)).alias("whole"))
-    base = written(base)
-    # Equal rows give equal units: each distinct one is weighed once.
-    units = base.where(F.size("units") > 0).select("row", "units", "n_uncut").dropDuplicates(["row"]).select("row", "n_uncut", F.posexplode("units").alias("unit", "line"))
+    base = base.select(F.monotonically_increasing_id().alias("row"), "key", "path", "named", "units", "n_uncut", "full", "size", (~F.col("named") & (F.col("cued_size") >= FILE_SHARE * F.col("size")) & (F.size("cued") > 0)).alias("whole"))
+    base = written(base)  # with their numbers, which would differ in another run
+    units = base.where(F.size("units") > 0).select("row", "n_uncut", F.posexplode("units").alias("unit", "line"))
     tf = units.select("row", "unit", (F.col("unit") >= F.col("n_uncut")).alias("cut"), F.explode(_words(F.col("line"))).alias("word")).groupBy("row", "unit", "cut", "word").agg(F.count("*").alias("tf"))
     tf = written(tf)
     rows = [(name, i, w) for name, notices in TEMPLATES.items() for i, notice in enumerate(notices) for w in notice.split()]
     template_tf = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{a}', {i}, '{w}')" for a, i, w in rows) + " AS t(licence, notice, word)").groupBy("licence", "notice", "word").agg(F.count("*").alias("tf"))
-    # Document frequencies, for words of templates alone: their number is bounded by TEMPLATES. Any other word counts as met once.
+    # Document frequencies of all words. Those of templates are bounded by TEMPLATES; of the others, those that one unit has need no row.
     vocabulary = template_tf.groupBy("word").agg(F.count("*").alias("in_templates"))
-    seen = tf.join(F.broadcast(vocabulary.select("word")), "word").groupBy("word").agg(F.count("*").alias("in_units"))
+    seen = written(tf.groupBy("word").agg(F.count("*").alias("in_units")))
+    others = written(seen.where("in_units > 1").join(F.broadcast(vocabulary.select("word")), "word", "left_anti").select("word", F.col("in_units").alias("met")))
+    others = F.broadcast(others) if others.count() <= BROADCAST_WORDS else others
     n = tf.select("row", "unit").distinct().count() + sum(map(len, TEMPLATES.values()))
     rare = F.log(F.lit(n) + 1.0) - F.log(F.lit(2.0)) + 1.0
     idf = vocabulary.join(F.broadcast(seen), "word", "left").select("word", (F.log(F.lit(n) + 1.0) - F.log(F.col("in_templates") + F.coalesce("in_units", F.lit(0)) + 1.0) + 1.0).alias("idf"))
@@ -140,7 +144,8 @@ def scan(files: DataFrame, path: Column | str, key: str = "doc_id", text: str =
     weighed = template_tf.join(F.broadcast(idf), "word").withColumn("tw", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("licence", "notice").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
     sides = weighed.join(F.broadcast(norms), ["licence", "notice"]).groupBy("word").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("licence", "notice", (F.col("tw") / F.col("tn")).alias("tw"))).alias("sides"))
-    unit_words = tf.join(F.broadcast(sides), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare))
+    unit_words = tf.join(F.broadcast(sides), "word", "left").join(others, "word", "left")
+    unit_words = unit_words.withColumn("w", F.col("tf") * F.coalesce("idf", F.log(F.lit(n) + 1.0) - F.log(F.col("met") + 1.0) + 1.0, rare))
     length = unit_words.groupBy("row", "unit", "cut").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("un"))
     dots = unit_words.where("sides IS NOT NULL").select("row", "unit", "w", F.explode("sides").alias("s")).groupBy("row", "unit", "s.licence", "s.notice").agg(F.sum(F.col("w") * F.col("s.tw")).alias("dot"))
     scored = dots.join(length, ["row", "unit"]).withColumn("cosine", F.round(F.col("dot") / F.col("un"), 9)).where(F.col("cosine") >= F.when(F.col("cut"), max(min_cosine, CUT_COSINE)).otherwise(min_cosine))
