@@ -155,3 +155,101 @@ def test_html_tags_and_references():
     assert texts("<ul><li>a</ul><svg><text>no</text></svg><p>b") == ["a", "b"]
     deep = "<div>" * 600 + "in" + "</div>" * 600 + "<p>out"
     assert texts(deep) == ["in", "out"]
+
+
+def test_crowded_shards_meet_in_blocks(spark, monkeypatch):
+    """A dense cluster of fingerprints that no radius cuts, beside scattered ones, in many small shards."""
+    from pyspark.sql import functions as F
+
+    from weftline.llm import simhash
+
+    monkeypatch.setattr(simhash, "SHARD", 40)
+    monkeypatch.setattr(simhash, "SAMPLE_EACH", 20)
+    monkeypatch.setattr(simhash, "CROWDED", 2)
+    r = np.random.default_rng(4)
+    dense = np.unique(np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 14, (900, 6)).astype(np.uint64), axis=1))
+    fps = np.unique(np.concatenate([dense, r.integers(0, 1 << 64, 600, np.uint64)]))
+    ids = r.permutation(len(fps)) + 7
+    table = spark.createDataFrame([(int(i), int(f)) for i, f in zip(ids, fps.view(np.int64))], "doc_id bigint, fp bigint")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, key, text, shingle: table)
+    got = {x.doc_id: x.component_id for x in simhash.groups(table.withColumn("text", F.lit(""))).collect()}
+    close = np.bitwise_count(fps[:, None] ^ fps[None]) <= 3
+    least = ids.astype(np.int64).copy()
+    while True:
+        new = np.array([least[row].min() for row in close])
+        if (new == least).all():
+            break
+        least = new
+    assert got == {int(i): int(k) for i, k in zip(ids, least)} and len(set(got.values())) < len(fps)
+
+
+def test_radii_where_few_lie():
+    from weftline.llm import simhash
+
+    r = np.random.default_rng(6)
+    x = r.integers(0, 1 << 64, 60_000, np.uint64)
+    tree = simhash.build(x[:3000], 50, 3, random.Random(2))
+    at, shard = simhash.leaves(tree, x, 3)
+    # Shards of 1,000 that hold copies: not more of these than the power says, and no shard much larger than others.
+    sizes = np.bincount(shard)
+    assert len(at) < 60**0.62 * len(x) and sizes.max() < 4000 and len(np.unique(np.concatenate([at, np.arange(len(x))]))) == len(x)
+
+
+def test_documents_named_like_the_operators_columns(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.llm import simhash
+
+    df = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, None)], "doc_id bigint, text string").withColumn("__gone", F.lit(2)).withColumn("__GONE_", F.lit(3))
+    left = simhash.representatives(df)
+    assert left.columns == df.columns and sorted(x.doc_id for x in left.collect()) == [1, 3]
+
+
+def test_windows_whose_hashes_collide(spark, monkeypatch):
+    from weftline.llm import quality
+
+    from .test_operators import brute_counts
+
+    monkeypatch.setattr(quality, "WINDOW_HASH", "shiftleft(pmod(length(x), 2), 40)")
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["a", "b", "cc", "dd", "e"]) for _ in range(n)) for n in (0, 1, 2, 3, 4, 7, 30, 60, 200)]
+    got = quality.counts(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")).collect()
+    assert {x.doc_id: x.n_repeat_words for x in got} == {i: brute_counts(t)[4] for i, t in enumerate(texts)}
+
+
+def test_licence_inheritance_by_brute_force(spark):
+    from weftline.llm import licences
+
+    r = random.Random(12)
+    lines = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "nothing here", "", None, "just words and words\nLicensed under CC BY 4.0"]
+    rows = []
+    for i in range(400):
+        depth = r.randint(0, 5)
+        folder = "/".join(r.choice("abc") for _ in range(depth))
+        name = r.choice(["LICENSE", "COPYING", "x.py", "y.md", "z"]) if r.random() < 0.5 else f"f{i}"
+        path = None if i % 40 == 0 else f"{folder}/{name}" if folder else name
+        rows.append((i if i % 7 else None, path, r.choice(lines)))
+    rows += rows[:5]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id bigint, p string, text string"), "p").collect()
+    assert sorted(map(repr, ((x.doc_id, x.path) for x in got))) == sorted(map(repr, ((i, p) for i, p, _ in rows)))
+    folder_of = lambda p: p.rsplit("/", 1)[0] if "/" in p else ""
+    stated = {}
+    for x in got:
+        if x.path is not None and x.is_licence_file:
+            stated.setdefault(folder_of(x.path), []).append(x.own_licence)
+    stated = {d: min(set(v), key=lambda n: (-v.count(n), n)) for d, v in stated.items()}
+    inherited = 0
+    for x in got:
+        want, origin = x.own_licence, None
+        if want is None and x.path is not None:
+            d = folder_of(x.path)
+            while True:
+                if d in stated:
+                    want, origin = stated[d], d
+                    break
+                if not d:
+                    break
+                d = folder_of(d)
+        assert (x.licence, x.inherited_from) == (want, origin), x
+        inherited += origin is not None
+    assert inherited > 50 and len(stated) > 10

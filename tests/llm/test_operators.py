@@ -267,7 +267,8 @@ def test_vantage_point_search_is_exact():
     rng = np.random.default_rng(5)
     x = np.unique(rng.integers(0, 1 << 64, 1500, np.uint64))
     near = np.unique(np.concatenate([x, *[x[:300] ^ np.uint64(1 << int(b)) for b in rng.integers(0, 64, 4)]]))
-    tree = simhash.build(near[::5], 4, random.Random(1))
+    tree = simhash.build(near[::5], 30, 3, random.Random(1))
+    assert tree is not None
     at, leaf = simhash.leaves(tree, near, 3)
     pairs = set()
     for k in np.unique(leaf):
@@ -372,22 +373,27 @@ def test_licences(spark):
 
 
 def test_licence_cosine_by_hand(spark):
-    lines = {"Released under the MIT License.": None, "the license of this is released": None, "Licensed under CC BY-NC 4.0": None}
+    lines = {"Released under the MIT License.": None, "the license of this is released": None, "Licensed under CC BY-NC 4.0": None, "license zulu zulu yankee": None, "zulu license for yankee use": None, "license of xray, zulu": None}
     df = spark.createDataFrame([(i, f"d/{i}", t) for i, t in enumerate(lines)], "doc_id bigint, p string, text string")
     got = collected(licences.scan(df, "p", min_cosine=0.0))
     words = lambda s: re.findall(licences.WORD, s.lower())
+    from pyspark.sql import functions as F
+
+    cut = df.select("doc_id", licences._cuts(F.array("text"), F.array(F.lit(True))).alias("c")).collect()
+    plain = [" ".join(words(x)) for x in lines]
+    units = {r.doc_id: [plain[r.doc_id], *dict.fromkeys(x for x in r.c if x != plain[r.doc_id])] for r in cut}
     notices = [(n, w) for n, ws in licences.TEMPLATES.items() for w in ws]
-    n = len(notices) + len(lines)
-    df_of = Counter(w for _, t in notices for w in set(words(t)))
-    known = set(df_of)
-    df_of.update(w for t in lines for w in set(words(t)) if w in known)
-    idf = lambda w: np.log(n + 1.0) - np.log(df_of[w] + 1.0 if w in known else 2.0) + 1.0
+    n = len(notices) + sum(map(len, units.values()))
+    df_of = Counter(w for _, x in notices for w in set(words(x)))
+    df_of.update(w for us in units.values() for u in us for w in set(words(u)))
+    assert df_of["zulu"] == 3 and df_of["yankee"] == 2 and df_of["xray"] == 1
+    idf = lambda w: np.log(n + 1.0) - np.log(df_of[w] + 1.0) + 1.0
     vector = lambda t: {w: c * idf(w) for w, c in Counter(words(t)).items()}
     norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
-    for i, t in enumerate(lines):
-        v = vector(t)
-        best = max((sum(v[w] * x for w, x in u.items() if w in v) / norm(v) / norm(u), name) for name, u in ((k, vector(s)) for k, s in notices))
-        assert abs(got[i].cosine - best[0]) < 1e-8
+    cosine = lambda t: max(sum(v[w] * x for w, x in u.items() if w in v) / norm(v) / norm(u) for v in [vector(t)] for u in (vector(s) for _, s in notices))
+    for i in units:
+        best = max(c for k, u in enumerate(units[i]) for c in [cosine(u)] if not k or c >= licences.CUT_COSINE)
+        assert abs(got[i].cosine - best) < 1e-8
 
 
 def test_whole_licences_and_cut_notices(spark):

@@ -7,7 +7,8 @@ of its character classes exceeds a threshold. Distances of short texts are noise
 be far from the reference as well, and below a second nothing is rejected.
 
 Within a text, repeated 3-word windows are found without leaving the row: window hashes carry their position in the
-low bits, one primitive sort brings equal windows together, and neighbours that agree are compared word by word.
+low bits, one primitive sort brings equal windows together, and neighbours that agree are compared word by word. In a text where neighbours
+agree in their hash alone, equal windows need not be neighbours: such a text's windows are sorted as text instead.
 
 Defined results: a null or empty text has no words and fails the count rules. A null or unlisted language shares one
 reference for all such documents. Repeated rows are judged alike, each on its own. An empty table gives no rows.
@@ -29,6 +30,8 @@ COMMON = {
     "es": ["de", "la", "que", "el", "en", "y", "los", "del", "las", "un"],
     "": ["the", "de", "la", "der", "die", "und", "of", "and", "el", "le"],
 }
+#: The hash of the window of words that begins with word x at position i of _w.
+WINDOW_HASH = "xxhash64(x, get(_w, i + 1), get(_w, i + 2))"
 CLASSES = ("separator", "upper", "digit", "symbol", "stop", "exclamation", "beyond_ascii", "rest")
 MIN_WORDS = 50
 #: A row nearer than both to the sums over all rows counts for the reference.
@@ -55,9 +58,15 @@ def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str |
     df = df.select("*", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", r"[ \t-\r]+")).alias("_w"), _without(F.col("_t"), SEPARATORS).alias("_dense"))
     df = df.select("*", F.size("_w").cast("bigint").alias("n_words"), F.length(F.bin(F.size("_w"))).alias("_bits"))
     # Windows as sorted longs: the hash above, the position in the low bits. The last two positions start no window; their hashes take fewer words.
-    df = df.select("*", F.expr("sort_array(transform(_w, (x, i) -> (xxhash64(x, get(_w, i + 1), get(_w, i + 2)) & ~(shiftleft(1L, _bits) - 1L)) | i))").alias("_k"))
+    df = df.select("*", F.expr(f"sort_array(transform(_w, (x, i) -> ({WINDOW_HASH} & ~(shiftleft(1L, _bits) - 1L)) | i))").alias("_k"))
     agree = lambda k: f"shiftright(k, _bits) = shiftright({k}, _bits) AND " + " AND ".join(f"get(_w, int(k & (shiftleft(1L, _bits) - 1L)) + {d}) = get(_w, int({k} & (shiftleft(1L, _bits) - 1L)) + {d})" for d in (0, 1, 2))
-    df = df.select("*", F.expr(f"sort_array(transform(filter(_k, (k, j) -> coalesce({agree('get(_k, j + 1)')}, false) OR coalesce({agree('get(_k, j - 1)')}, false)), k -> k & (shiftleft(1L, _bits) - 1L)))").alias("_r"))
+    fast = f"sort_array(transform(filter(_k, (k, j) -> coalesce({agree('get(_k, j + 1)')}, false) OR coalesce({agree('get(_k, j - 1)')}, false)), k -> k & (shiftleft(1L, _bits) - 1L)))"
+    # Words hold no blanks, so a window's words joined by blanks are the window.
+    texts = "sort_array(transform(filter(sequence(0, size(_w) - 3), i -> i >= 0 AND i < size(_w) - 2), i -> struct(concat(_w[i], ' ', _w[i + 1], ' ', _w[i + 2]) AS s, cast(i AS bigint) AS i)))"
+    slow = f"sort_array(transform(array({texts}), a -> transform(filter(a, (e, j) -> coalesce(get(a, j + 1).s = e.s, false) OR coalesce(get(a, j - 1).s = e.s, false)), e -> e.i))[0])"
+    alike = "shiftright(k, _bits) = shiftright(get(_k, j + 1), _bits)"
+    clash = f"size(filter(_k, (k, j) -> {alike} AND NOT coalesce({agree('get(_k, j + 1)')}, false))) > 0"
+    df = df.select("*", F.expr(f"CASE WHEN size(_w) >= 3 AND {clash} THEN {slow} ELSE {fast} END").alias("_r"))
     lines = F.expr(r"filter(split(_t, '\n'), x -> x RLIKE '[^ \\t-\\r]')")
     df = df.select("*", lines.alias("_l"), F.concat(F.lit(" "), F.array_join("_w", "  "), F.lit(" ")).alias("_spaced"))
     dense, plain = F.octet_length("_dense"), F.octet_length(_without(F.col("_dense"), SYMBOLS))
