@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import packing, pii, quality, simhash, suffixes
-from weftline.llm.common import table, written
+from weftline.llm.common import delete, scratch, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -53,7 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage wrote is deleted when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        path = scratch(spark)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
