@@ -7,14 +7,14 @@ equal windows among those with equal anchors. Consecutive windows with the same
 
 Documents are dealt into chunks by key once; every later step reads that exchange again.
 A: each chunk sends its distinct anchor hashes, sorted and difference-coded, to shards by hash range, with a byte that tells differing clips apart.
-B: a shard answers each chunk with bits for each hash: whether another document or place has it too, and whether it is hot, that is, stands in
-more than ``HOT`` differing clips.
+B: a shard answers each chunk with bits for each hash: whether another document or place has it too, and whether it is hot: the chunks would
+send more than ``HOT`` clips for it, and these differ.
 C: a chunk sends the clips of these anchors only, each distinct one once with its places, as sorted front-coded runs. Clips of a
 hot anchor are cut into their windows, which go to shards by their content: a common phrase in ever new surroundings spreads over all shards.
 D: a shard finds out which windows occur earlier and answers with places.
 E: a chunk applies the answers to its texts.
-A common passage costs a chunk one clip, however often it occurs there, and no phrase brings more than ``HOT`` differing clips or, beyond
-that, its share of all windows to one shard. Hash collisions in A and B only add clips; C and D compare content.
+A common passage costs a chunk one clip, however often it occurs there, and a phrase in differing surroundings brings one shard ``HOT`` clips
+(a few MB) or, where there are more, its share of all windows. Hash collisions in A and B only add clips; C and D compare content.
 
 Chunks grow with the memory that the cluster gives a core; messages between chunks and shards have no frame but their content,
 and a chunk sends a shard none where it has nothing for it. Chunks and shards may be more than the partitions that hold them.
@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import parts_for, unused
 
-#: Differing clips round one anchor from which on windows go by their content; partitions at most, whatever the number of chunks.
-HOT, PARTITIONS = 64, 20_000
+#: Clips round one anchor beyond which windows go by their content, if as many bytes of 256 as ``KINDS`` tell that they differ.
+HOT, KINDS = 30_000, 200
+#: Partitions at most, whatever the number of chunks.
+PARTITIONS = 20_000
 #: MB of stored texts to a chunk for each 1.5 GB of memory that an executor has for a core; the least and the most.
 CHUNK_MB, CHUNK_MB_MOST = 4.0, 64.0
 _TILE, _LOW = 1 << 20, np.uint64((1 << 24) - 1)
@@ -207,7 +209,7 @@ def _run(entries: dict[tuple[bytes, bytes], list[int]], keys, rows, firsts) -> R
         rights.append(right[k:])
         lefts.append(left)
         before = right
-    places = [sorted(entries[e], key=lambda i: (rows[i], firsts[i])) if len(entries[e]) > 1 else entries[e] for e in order]
+    places = [entries[e] for e in order]
     flat = np.fromiter((i for p in places for i in p), np.int64, sum(map(len, places)))
     number = lambda x: np.array(x, np.uint32)
     return Run(number(shared), number([len(r) for r, _ in order]), number([len(le) for _, le in order]), b"".join(rights), b"".join(lefts), np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.uint32), keys[flat], rows[flat].astype(np.uint32), firsts[flat].astype(np.uint32))
@@ -236,10 +238,13 @@ class _Chunk:
         ids = self.ids[self.row[order]] if len(h) else np.zeros(0, np.int64)
         # Rows of a document are in ascending order, so the first and the last place show whether there are two.
         self.repeated = (last > begin) if scheme.within else ids[begin] != ids[last]
-        # A byte of one of each hash's clips, and how many differing bytes there are besides.
+        # A byte of one of each hash's clips, and how many differing ones there are besides: by their bytes, or all where these run out.
         self.kind = kind[order][begin]
-        pairs = np.unique((self.number << 8) | kind)
-        self.others = (np.bincount(pairs >> 8, minlength=len(begin)) - 1).astype(np.uint8)
+        self.others = np.zeros(len(begin), np.uint32)
+        sizes = last - begin + 1
+        if (many := sizes[self.number] > 1).any():
+            found = np.bincount(np.unique((self.number[many] << 8) | kind[many]) >> 8, minlength=len(begin))
+            self.others = (np.where(found >= KINDS, sizes, np.maximum(found, 1)) - 1).astype(np.uint32)
 
     def cuts(self, shards: int) -> np.ndarray:
         shard = (self.distinct * np.uint64(shards)) >> np.uint64(_HASH_BITS)
@@ -273,7 +278,7 @@ def apply(docs: DataFrame, scheme: Scheme, finish: Callable[[pa.Table, list[byte
         cuts, out = chunk.cuts(shards), []
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[s], cuts[s + 1]
-            out.append((s, t.column(_CHUNK)[0].as_py(), joined(_planes(chunk.distinct[a:b]), np.packbits(chunk.repeated[a:b]).tobytes(), chunk.kind[a:b].tobytes(), chunk.others[a:b].tobytes())))
+            out.append((s, t.column(_CHUNK)[0].as_py(), joined(_planes(chunk.distinct[a:b]), np.packbits(chunk.repeated[a:b]).tobytes(), chunk.kind[a:b].tobytes(), chunk.others[a:b].astype("<u4").tobytes() if chunk.others[a:b].any() else b"")))
         return pa.table({"shard": pa.array([o[0] for o in out], pa.int32()), "chunk": pa.array([o[1] for o in out], pa.int32()), "blob": pa.array([o[2] for o in out], pa.binary())})
 
     def answer(t: pa.Table) -> pa.Table:
@@ -281,14 +286,17 @@ def apply(docs: DataFrame, scheme: Scheme, finish: Callable[[pa.Table, list[byte
         each = [_unplaned(x[0]) for x in sent]
         h = np.concatenate(each)
         flag = np.concatenate([np.unpackbits(np.frombuffer(x[1], np.uint8), count=len(e)) for x, e in zip(sent, each)]).astype(bool)
-        kind, others = (np.frombuffer(b"".join(x[i] for x in sent), np.uint8) for i in (2, 3))
+        kind = np.frombuffer(b"".join(x[2] for x in sent), np.uint8)
+        others = np.concatenate([np.frombuffer(x[3], "<u4") if x[3] else np.zeros(len(e), np.uint32) for x, e in zip(sent, each)]).astype(np.int64)
         order = np.argsort(h, kind="stable")
         begin = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
         sizes = np.diff(np.append(begin, len(h)))
         wanted, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
         wanted[order] = np.repeat((sizes > 1) | np.logical_or.reduceat(flag[order], begin), sizes)
-        kinds = np.bincount(np.unique((np.repeat(np.arange(len(begin)), sizes) << 8) | kind[order]) >> 8) + np.add.reduceat(others[order].astype(np.int64), begin)
-        hot[order] = np.repeat(kinds > HOT, sizes)
+        crowded = sizes + np.add.reduceat(others[order], begin) > HOT
+        for g in np.flatnonzero(crowded).tolist():
+            own = order[begin[g] : begin[g] + sizes[g]]
+            hot[own] = len(np.unique(kind[own])) >= KINDS or others[own].max() >= KINDS - 1
         cut = np.cumsum([len(x) for x in each])[:-1]
         parts = [np.packbits(w).tobytes() + (np.packbits(x).tobytes() if x.any() else b"") for w, x in zip(np.split(wanted, cut), np.split(hot, cut))]
         return pa.table({_CHUNK: t.column("chunk"), _SHARD: t.column("shard"), "blob": pa.array(parts, pa.binary())})
@@ -366,6 +374,12 @@ class Places:
         """Windows x to y of the places a to b of a run occur earlier."""
         if a < b:
             rows, firsts, ends = self.of.get(chunk) or self.of.setdefault(chunk, (array("I"), array("I"), array("I")))
+            if b - a == 1:
+                first = run.firsts.item(a)
+                rows.append(run.rows.item(a))
+                firsts.append(first + x)
+                ends.append(first + y)
+                return
             rows.frombytes(run.rows[a:b].tobytes())
             firsts.frombytes((run.firsts[a:b] + np.uint32(x)).tobytes())
             ends.frombytes((run.firsts[a:b] + np.uint32(y)).tobytes())

@@ -90,30 +90,45 @@ def _players(chunk: int, run: Run):
 def earliest(group: list[tuple[int, bytes, tuple]], window: int, gram: int) -> list[list[int]]:
     """For each clip of a sorted group, the smallest document that has each of its windows. Entries are (prefix shared with the one
     before, right part, (left part, chunk, run, first place, end of places))."""
-    lefts = [p[0] for _, _, p in group]
-    own = [int(p[2].keys[p[3]]) for _, _, p in group]
-    least = [[k] * (len(left) + len(right) - window + 1) for k, left, (_, right, _) in zip(own, lefts, group)]
-    n = len(group)
-    for j in range(window - gram + 1 if n > 1 else 0):
+    number: dict[tuple[bytes, bytes], int] = {}
+    of, own, shared, upto = [], [], [], window
+    for prefix, right, (left, _, run, a, _) in group:
+        upto = min(upto, prefix)
+        k = number.setdefault((right, left), len(number))
+        key = run.keys.item(a)
+        if k == len(own):
+            own.append(key)
+            shared.append(upto)
+            upto = window
+        elif key < own[k]:
+            own[k] = key
+        of.append(k)
+    clips = list(number)
+    least = [[k] * (len(left) + len(right) - window + 1) for k, (right, left) in zip(own, clips)]
+    n = len(clips)
+    # No two share more, so windows that need more are nobody else's.
+    most = max(shared[1:], default=0)
+    for j in range(max(0, window - most), min(window - gram, max(len(left) for _, left in clips)) + 1 if n > 1 else 0):
         need, i = window - j, 0
         while i < n:
             end = i + 1
-            while end < n and group[end][0] >= need:
+            while end < n and shared[end] >= need:
                 end += 1
             if end - i > 1:
                 found: dict[bytes, int] = {}
                 members = []
                 for k in range(i, end):
-                    left = lefts[k]
-                    if len(left) >= j and len(group[k][1]) >= need:
+                    right, left = clips[k]
+                    if len(left) >= j and len(right) >= need:
                         tail = left[len(left) - j :]
                         if found.get(tail, own[k] + 1) > own[k]:
                             found[tail] = own[k]
                         members.append((k, len(left) - j, tail))
-                for k, x, tail in members:
-                    least[k][x] = found[tail]
+                if len(found) < len(members):
+                    for k, x, tail in members:
+                        least[k][x] = found[tail]
             i = end
-    return least
+    return [least[k] for k in of]
 
 
 def solve(runs: list[tuple[int, Run]], window: int = WINDOW, gram: int = GRAM):
@@ -122,15 +137,26 @@ def solve(runs: list[tuple[int, Run]], window: int = WINDOW, gram: int = GRAM):
     def settle(group: list[tuple[int, bytes, tuple]]) -> None:
         if len(group) == 1 and group[0][2][4] - group[0][2][3] == 1:
             return
+        _, right, (left, *_) = group[0]
+        if all(r == right and p[0] == left for _, r, p in group):  # copies of one clip: the smallest document keeps it
+            least, windows = min(p[2].keys.item(p[3]) for _, _, p in group), len(left) + len(right) - window + 1
+            for _, _, (_, chunk, run, a, b) in group:
+                if b - a > 1:
+                    a += int(run.keys[a:b].searchsorted(least, side="right"))
+                elif run.keys.item(a) <= least:
+                    continue
+                out.add(chunk, run, a, b, 0, windows)
+            return
         for least, (_, _, (left, chunk, run, a, b)) in zip(earliest(group, window, gram), group):
             keys, top = run.keys[a:b], max(least)
-            behind = int(np.searchsorted(keys, top, side="right"))
+            behind = int(keys.searchsorted(top, side="right"))
             out.add(chunk, run, a + behind, b, 0, len(least))  # larger than every window's smallest document
             i = 0
             while i < behind:
-                j = int(np.searchsorted(keys, keys[i], side="right"))
-                if min(least) < keys[i]:
-                    for x, y in ranges_of([x < keys[i] for x in least]):
+                key = keys.item(i)
+                j = i + 1 if len(keys) == 1 else int(keys.searchsorted(key, side="right"))
+                if min(least) < key:
+                    for x, y in ranges_of([x < key for x in least]):
                         out.add(chunk, run, a + i, a + j, x, y)
                 i = j
 
