@@ -248,3 +248,126 @@ _add(
     "x = LOAD '$t/out' USING PigStorage(',') AS (kind: chararray, n: long, lo: long, hi: long); y = GROUP x ALL; out = FOREACH y GENERATE SUM(x.n) AS n;",
     sql="SELECT CAST(40 * ((count(*) - 40) // 20 + 1) AS BIGINT) AS n FROM events",
 )
+
+
+def _socket_write(s: Session, t: str) -> None:
+    """The lines that a listener of our own got."""
+    import socket
+    import threading
+
+    server, got = socket.create_server(("127.0.0.1", 0)), []
+
+    def take() -> None:
+        c, _ = server.accept()
+        with c, c.makefile() as f:
+            got.extend(f.read().splitlines())
+
+    listener = threading.Thread(target=take, daemon=True)
+    listener.start()
+    s.run(f"SOCKET_WRITE n TO '127.0.0.1:{server.getsockname()[1]}' USING PigStorage(',');")
+    listener.join(60)
+    server.close()
+    s.bind("out", s.spark.createDataFrame([(x,) for x in got], "line string"))
+
+
+_add("socket_write", "n = FOREACH nation GENERATE n_nationkey, n_name;", _socket_write, sql="SELECT n_nationkey || ',' || n_name AS line FROM nation")
+
+
+def _socket_read(s: Session, t: str) -> None:
+    """Rows sent by a server of our own, read as a live stream until all are stored."""
+    import socket
+    import threading
+    import time
+
+    lines = [f"{r.n_nationkey},{r.n_name}" for r in s.df("n").collect()]
+    server, done = socket.create_server(("127.0.0.1", 0)), threading.Event()
+
+    def serve() -> None:
+        c, _ = server.accept()
+        with c:
+            c.sendall("".join(x + "\n" for x in lines).encode())
+            done.wait(120)
+
+    threading.Thread(target=serve, daemon=True).start()
+    s.run(f"SET available_now false; r = SOCKET_READ '127.0.0.1:{server.getsockname()[1]}' USING PigStream(',') AS (k: int, n: chararray); f = FILTER r BY k >= 5; STORE f INTO '{t}/out';")
+    query, until, seen = s.queries[-1], time.time() + 60, 0
+    while seen < len(lines) and time.time() < until:
+        query.processAllAvailable()
+        seen = sum(p["numInputRows"] for p in query.recentProgress)
+        time.sleep(0.1)
+    query.stop()
+    done.set()
+    server.close()
+
+
+_add("socket_read", "n = FOREACH nation GENERATE n_nationkey, n_name;", _socket_read, "out = LOAD '$t/out' USING PigStorage(',') AS (k: int, n: chararray);", sql="SELECT n_nationkey AS k, n_name AS n FROM nation WHERE n_nationkey >= 5")
+
+
+def _rdf_server(s: Session, t: str) -> None:
+    """Triples behind an address, served by this process."""
+    import http.server
+    import threading
+
+    body = "".join(f'n{r.n_nationkey} name "{r.n_name}"\n' for r in s.df("n").collect()).encode()
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    s.run(f"out = RDFLOAD('http://127.0.0.1:{server.server_address[1]}/triples.nt');")
+    server.shutdown()
+    server.server_close()
+
+
+_add("rdfload_remote", "n = FOREACH nation GENERATE n_nationkey, n_name;", _rdf_server, sql="""SELECT 'n' || n_nationkey AS subject, 'name' AS predicate, '"' || n_name || '"' AS object FROM nation""")
+
+
+def _command(s: Session, t: str) -> None:
+    """A script file through the command line, with a parameter."""
+    import tempfile
+
+    from . import __main__ as cli
+
+    script = Path(tempfile.mkdtemp(prefix="weftline-")) / "s.script"
+    script.write_text("n = LOAD '$d/nation.parquet' USING Parquet(); f = FILTER n BY n_regionkey == $region; g = FOREACH f GENERATE n_name; STORE g INTO 'names';")
+    zone = s.spark.conf.get("spark.sql.session.timeZone")
+    failed = cli.main(["-p", f"d={s.params['d']}", "-p", "region=3", "--outdir", t, "--quiet", "--log-level", "ERROR", str(script)])
+    s.spark.conf.set("spark.sql.session.timeZone", zone)
+    if failed:
+        raise AssertionError("the script failed")
+
+
+_add("command_line", _command, "out = LOAD '$t/names' USING TextLoader();", sql="SELECT n_name AS line FROM nation WHERE n_regionkey = 3")
+
+
+def _profile(s: Session, t: str) -> None:
+    """Bytes that each operator put out, as observed while it ran: 8 for each number of each row."""
+    sizes = s.graph.sizes
+    s.bind("out", s.spark.createDataFrame([(a, sizes[s.signatures[a]]) for a in ("a", "b", "c")], "alias string, size bigint"))
+
+
+_add(
+    "profiling",
+    "a = FOREACH lineitem GENERATE l_orderkey, l_quantity; b = FILTER a BY l_quantity > 30.0; c = FOREACH b GENERATE l_orderkey; STORE c INTO '$t/a';",
+    _profile,
+    sql="SELECT 'a' AS alias, 16 * count(*) AS size FROM lineitem UNION ALL SELECT 'b', 16 * count(*) FROM lineitem WHERE l_quantity > 30 UNION ALL SELECT 'c', 8 * count(*) FROM lineitem WHERE l_quantity > 30",
+    profile=True,
+)
+_add(
+    "live_window",
+    "a = FOREACH events GENERATE event_id * 60, event_type; STORE a INTO '$t/in'; b = FOREACH region GENERATE 900000000 + r_regionkey, 'end'; c = LIMIT b 1; STORE c INTO '$t/late'; STORE b INTO '$t/later';",
+    # Later files close the last windows of those before.
+    "fs -rm $t/in/_SUCCESS;\nfs -getmerge $t/late $t/in/zz1;\n",
+    lambda s, t: __import__("time").sleep(1.1),
+    "fs -getmerge $t/later $t/in/zz2;\n",
+    "s = LOAD '$t/in' USING PigStream(',') AS (ts: long, kind: chararray) TIMESTAMP(ts); SET watermark '2000000 seconds'; w = WINDOW s RANGE 60 MINUTES; g = GROUP w BY kind; r = FOREACH g GENERATE group, COUNT(w); STORE r INTO '$t/out';",
+    "out = LOAD '$t/out' USING PigStorage(',') AS (kind: chararray, n: long);",
+    sql="SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type, event_id * 60 // 3600",
+)
