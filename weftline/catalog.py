@@ -328,6 +328,11 @@ _add(
     _REPLAY + "g = GROUP e BY user_id; out = ACCUMULATE g GENERATE MIN(e.event_id) AS lo, MAX(e.event_id) AS hi, COUNT(e.event_id) AS n;",
     "SELECT min(event_id) OVER w AS lo, max(event_id) OVER w AS hi, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
 )
+_add(
+    "stream_accumulate_all",
+    _REPLAY + "out = ACCUMULATE e GENERATE MIN(value) AS lo, MAX(event_id) AS hi, SUM(user_id) AS s, COUNT(value) AS n, AVG(user_id) AS a;",
+    "SELECT min(value) OVER w AS lo, max(event_id) OVER w AS hi, CAST(sum(user_id) OVER w AS BIGINT) AS s, count(*) OVER w AS n, avg(user_id) OVER w AS a FROM events WINDOW w AS (ORDER BY event_id)",
+)
 _add(
     "stream_group_running",
     _REPLAY + "g = GROUP e BY event_type; out = FOREACH g GENERATE group AS type, COUNT(e) AS n, round(SUM(e.value), 4) AS s;",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import builtins as B
 from ..functions.builtins import Typed
@@ -347,6 +349,38 @@ def arrival(r: Relation) -> Column:
     return F.monotonically_increasing_id()
 
 
+def _prefixes(g: Grouped, wanted: list[tuple[str, Column, T.DataType]]) -> DataFrame:
+    """Aggregates of each prefix of all rows, without one task that reads them all: rows are sorted by ranges and written with their
+    range and place; each range runs along its own rows, and starts from what the ranges before it add up to (one row a range)."""
+    x = [c.alias(f"_x{i}") for i, (_, c, _) in enumerate(wanted)]
+    rows = g.base.df.withColumn("_at", arrival(g.base)).orderBy("_at").select(*x, F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"))
+    rows = written(rows)
+    steps: list[tuple[str, Callable[[Column], Column], Column]] = []
+    for i, (name, _, _) in enumerate(wanted):
+        c = F.col(f"_x{i}")
+        if name == "AVG":
+            steps += [("sum", F.sum, c.cast("double")), ("count", F.count, c)]
+        else:
+            steps.append((name.lower(), {"SUM": F.sum, "COUNT": F.count, "MIN": F.min, "MAX": F.max}[name], c))
+    along = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.select("_p", *[f(c).over(along).alias(f"_o{k}") for k, (_, f, c) in enumerate(steps)])
+    sums = rows.groupBy("_p").agg(*[f(c).alias(f"_s{k}") for k, (_, f, c) in enumerate(steps)])
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    again = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+    before = sums.select("_p", *[again[kind](f"_s{k}").over(ahead).alias(f"_b{k}") for k, (kind, _, _) in enumerate(steps)])
+    df = own.join(F.broadcast(before), "_p")  # a row for each range
+    both = []
+    for k, (kind, _, _) in enumerate(steps):
+        a, b = F.col(f"_o{k}"), F.col(f"_b{k}")
+        both.append({"sum": F.coalesce(a + b, a, b), "count": a + F.coalesce(b, F.lit(0)), "min": F.least(a, b), "max": F.greatest(a, b)}[kind])
+    cols, k = [], 0
+    for i, (name, _, kind) in enumerate(wanted):
+        c = both[k] / F.when(both[k + 1] > 0, both[k + 1]) if name == "AVG" else both[k]
+        cols.append(c.cast(kind).alias(f"_{i}"))
+        k += 1 + (name == "AVG")
+    return df.select(*cols)
+
+
 def accumulate(r: Relation, generate, functions: Functions) -> Relation:
     """Aggregates of all rows; of each prefix of a stream, or, behind a GROUP, of each key."""
     g = r.grouped or Grouped(r, "\0", (), True)
@@ -354,7 +388,7 @@ def accumulate(r: Relation, generate, functions: Functions) -> Relation:
     if r.stream and not r.window:
         base = base.select("*", *_key_columns(g)).withColumn("_at", arrival(g.base))
         over = Window.partitionBy(*([f"_k{i}" for i in range(len(g.keys))] or [F.lit(0)])).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    lower = _GroupLower(g, functions, over)
+    lower, whole = _GroupLower(g, functions, over), []
     cols, fields = [], []
     for gen in generate:
         e = gen.expr
@@ -368,10 +402,15 @@ def accumulate(r: Relation, generate, functions: Functions) -> Relation:
                 got, f = lower.rows.ref(e.args[0])
                 b = _Bag(None, [got], [replace(f, type=got.type)])
             x = lower.aggregate(e.name.upper(), b)
+            name = e.name.upper()
+            if name == "COUNT" or b.cols is not None and len(b.cols) == 1:
+                whole.append((name, F.lit(1) if name == "COUNT" else B.number(b.cols[0]).col if name in ("SUM", "AVG") else b.cols[0].col, to_spark(x.type)))
         c, f = _named(Field("", x.type), gen.alias, x)
         cols.append(c)
         fields.append(f)
     named = [c.alias(f"_{i}") for i, c in enumerate(cols)]
+    if over is not None and not g.keys and len(whole) == len(cols):
+        return Relation(_prefixes(g, whole), Schema(tuple(fields)), False, r.stream)
     df = base.select(*named) if over is not None else base.groupBy(*_key_columns(g)).agg(*named).select(*[f"_{i}" for i in range(len(cols))])
     return Relation(df, Schema(tuple(fields)), False, r.stream)
 
