@@ -134,12 +134,13 @@ def scan(files: DataFrame, path: Column | str, key: str = "doc_id", text: str =
     template_tf = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{a}', {i}, '{w}')" for a, i, w in rows) + " AS t(licence, notice, word)").groupBy("licence", "notice", "word").agg(F.count("*").alias("tf"))
     # Document frequencies of all words. Those of templates are bounded by TEMPLATES; of the others, those that one unit has need no row.
     vocabulary = template_tf.groupBy("word").agg(F.count("*").alias("in_templates"))
-    seen = written(tf.groupBy("word").agg(F.count("*").alias("in_units")))
-    others = written(seen.where("in_units > 1").join(F.broadcast(vocabulary.select("word")), "word", "left_anti").select("word", F.col("in_units").alias("met")))
+    seen = tf.groupBy("word").agg(F.count("*").alias("in_units")).join(F.broadcast(vocabulary.select("word", F.lit(True).alias("known"))), "word", "left")
+    seen = written(seen.where("in_units > 1 OR known"))
+    others = seen.where("known IS NULL").select("word", F.col("in_units").alias("met"))
     others = F.broadcast(others) if others.count() <= BROADCAST_WORDS else others
     n = tf.select("row", "unit").distinct().count() + sum(map(len, TEMPLATES.values()))
     rare = F.log(F.lit(n) + 1.0) - F.log(F.lit(2.0)) + 1.0
-    idf = vocabulary.join(F.broadcast(seen), "word", "left").select("word", (F.log(F.lit(n) + 1.0) - F.log(F.col("in_templates") + F.coalesce("in_units", F.lit(0)) + 1.0) + 1.0).alias("idf"))
+    idf = vocabulary.join(F.broadcast(seen.where("known").select("word", "in_units")), "word", "left").select("word", (F.log(F.lit(n) + 1.0) - F.log(F.col("in_templates") + F.coalesce("in_units", F.lit(0)) + 1.0) + 1.0).alias("idf"))
     # Both tables have no more rows than TEMPLATES has words.
     weighed = template_tf.join(F.broadcast(idf), "word").withColumn("tw", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("licence", "notice").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
