@@ -352,6 +352,24 @@ def test_quality(docs, none, rows):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_quality_of_rare_scripts(spark, monkeypatch):
+    rng = random.Random(3)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n)) + "."
+    latin, cyrillic = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшщэюя"
+    rows = [(i, make(latin, 1200), "pt") for i in range(60)] + [(60 + i, make(cyrillic, 1200), "ru") for i in range(4)]
+    rows += [(90, make("#%$&", 400), "ru"), (91, make("#%$&", 400), "xx"), (92, None, None), (93, make(latin, 400), None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert not {r.doc_id for r in quality.sound(docs).collect()} & set(range(60, 64))
+    want = set(range(64)) | {91, 93}  # 91 is all there is of its language, below the least reference
+    assert {r.doc_id for r in quality.sound(docs, own_references=True).collect()} == want
+    assert {r.doc_id for r in quality.score(docs, own_references=True).collect() if r.kept} == want
+    monkeypatch.setattr(quality, "BROADCAST_LANGUAGES", 1)
+    assert {r.doc_id for r in quality.sound(docs, own_references=True).collect()} == want
+    monkeypatch.setattr(quality, "MIN_REFERENCE", 0)
+    assert {r.doc_id for r in quality.sound(docs, own_references=True).collect()} == want, "a text is near a reference of its own"
+    assert quality.sound(docs.limit(0), own_references=True).count() == 0
+
+
 def test_quality_separates_labelled_documents(spark):
     d = "/root/testdata/sf0.01"
     scored = quality.score(spark.read.parquet(f"{d}/documents.parquet"))

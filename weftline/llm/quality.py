@@ -10,8 +10,11 @@ Within a text, repeated 3-word windows are found without leaving the row: window
 low bits, one primitive sort brings equal windows together, and neighbours that agree are compared word by word. In a text where neighbours
 agree in their hash alone, equal windows need not be neighbours: such a text's windows are sorted as text instead.
 
-Defined results: a null or empty text has no words and fails the count rules. A null or unlisted language shares one
-reference for all such documents. Repeated rows are judged alike, each on its own. An empty table gives no rows.
+With ``own_references`` each value of the language column has a reference of its own, however rare its script is elsewhere, and
+one of fewer than ``MIN_REFERENCE`` characters rejects nothing. Without it unlisted languages share one reference.
+
+Defined results: a null or empty text has no words and fails the count rules. Documents without a language share one
+reference. Repeated rows are judged alike, each on its own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +43,10 @@ FIRST_CLASS_DISTANCE, FIRST_WORD_DISTANCE = 0.2, 0.3
 #: or if it is shorter and its common words are missing as well; a shorter one yet is left alone.
 MAX_CLASS_DISTANCE, MIN_CHARS_ALONE = 0.165, 1000
 MAX_WORD_DISTANCE, MIN_CHARS = 0.26, 250
+#: Characters of a language's own reference below which nothing is held against it.
+MIN_REFERENCE = 20_000
+#: References are broadcast up to this many languages (some 200 bytes each), counted first; more are joined as Spark plans it.
+BROADCAST_LANGUAGES = 100_000
 
 
 def _without(c: Column, chars: str) -> Column:
@@ -48,12 +55,13 @@ def _without(c: Column, chars: str) -> Column:
     return c
 
 
-def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang", carry: bool = False) -> DataFrame:
-    """One row per document: the counts and both histograms; with ``carry`` also ``_row``, all of its columns."""
+def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang", carry: bool = False, own_references: bool = False) -> DataFrame:
+    """One row per document: the counts, both histograms and its reference's name; with ``carry`` also ``_row``, all of its columns."""
     language = F.lit("") if lang is None else F.when(F.col(lang).isin(*[x for x in COMMON if x]), F.col(lang)).otherwise("")
+    reference = F.coalesce(F.col(lang).cast("string"), F.lit("")) if own_references and lang is not None else language
     own = [F.struct("*").alias("_row")] if carry else []
     df = spread(docs if carry else docs.select(key, text, *([lang] if lang else [])))
-    df = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"), language.alias("_lang"), *own)
+    df = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"), language.alias("_lang"), reference.alias("_reference"), *own)
     df = df.select("*", F.btrim("_t", F.lit(SEPARATORS)).alias("_trim"))
     df = df.select("*", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", r"[ \t-\r]+")).alias("_w"), _without(F.col("_t"), SEPARATORS).alias("_dense"))
     df = df.select("*", F.size("_w").cast("bigint").alias("n_words"), F.length(F.bin(F.size("_w"))).alias("_bits"))
@@ -91,7 +99,7 @@ def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str |
         else:
             by_language = by_language.otherwise(histogram)
     df = df.select(
-        key, "_lang", *(["_row"] if carry else []), "n_words", word_chars.cast("bigint").alias("word_chars"), (dense - plain).cast("bigint").alias("n_symbols"),
+        key, "_reference", *(["_row"] if carry else []), "n_words", word_chars.cast("bigint").alias("word_chars"), (dense - plain).cast("bigint").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"),
         F.expr("aggregate(transform(_r, (x, j) -> least(3L, coalesce(get(_r, j + 1) - x, 3L))), 0L, (a, x) -> a + x)").alias("n_repeat_words"),
         F.array(*known, F.greatest(total - sum(known[1:], known[0]), F.lit(0))).alias("_classes"), by_language.alias("_common"),
@@ -107,25 +115,27 @@ def _distance(p: str, q: str) -> Column:
     return F.expr(f"coalesce(sqrt(greatest(aggregate(zip_with({share(p)}, {share(q)}, (a, b) -> ({term('a')} + {term('b')}) / 2), 0D, (s, x) -> s + x), 0D)), 0D)")
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang", own_references: bool = False) -> DataFrame:
     """Counts with ``class_distance``, ``word_distance``, ``base_failed`` and ``kept``."""
-    df = _judged(written(counts(docs, key, text, lang)))
+    df = _judged(written(counts(docs, key, text, lang, own_references=own_references)), own_references)
     return df.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
-def sound(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
+def sound(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang", own_references: bool = False) -> DataFrame:
     """The kept documents with all their columns. Rows are written once with their counts, so that no text is exchanged."""
-    return _judged(written(counts(docs, key, text, lang, carry=True))).where("kept").select("_row.*")
+    return _judged(written(counts(docs, key, text, lang, carry=True, own_references=own_references)), own_references).where("kept").select("_row.*")
 
 
-def _judged(found: DataFrame) -> DataFrame:
+def _judged(found: DataFrame, own_references: bool = False) -> DataFrame:
     sizes = {"_classes": len(CLASSES), "_common": len(COMMON[""]) + 1}
+    # Listed languages and one row for the rest are len(COMMON) rows; languages as the table has them are counted.
+    small = not own_references or found.select("_reference").distinct().count() <= BROADCAST_LANGUAGES
 
     def measured(sound: Column, df: DataFrame) -> DataFrame:
         """Distances to the sums over the sound rows of each language."""
         sums = [F.array(*[F.sum(F.when(sound, F.get(c, F.lit(i))).otherwise(0)) for i in range(n)]).alias(f"_ref{c}") for c, n in sizes.items()]
-        # One row per listed language and one for the rest: at most len(COMMON) rows.
-        joined = found.join(F.broadcast(df.groupBy("_lang").agg(*sums)), "_lang")
+        references = df.groupBy("_reference").agg(*sums)
+        joined = found.join(F.broadcast(references) if small else references, "_reference")
         return joined.select("*", _distance("_classes", "_ref_classes").alias("class_distance"), _distance("_common", "_ref_common").alias("word_distance"))
 
     first = measured(~F.col("base_failed"), found)
@@ -134,4 +144,6 @@ def _judged(found: DataFrame) -> DataFrame:
     df = measured(near, first).withColumn("_n", F.expr("aggregate(_classes, 0L, (a, x) -> a + x)"))
     far = F.col("class_distance") > MAX_CLASS_DISTANCE
     odd = far & ((F.col("_n") >= MIN_CHARS_ALONE) | ((F.col("_n") >= MIN_CHARS) & (F.col("word_distance") > MAX_WORD_DISTANCE)))
+    if own_references:
+        odd &= F.expr(f"aggregate(_ref_classes, 0L, (a, x) -> a + x) >= {MIN_REFERENCE}")
     return df.withColumn("kept", ~F.col("base_failed") & ~odd)
