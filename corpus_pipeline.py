@@ -17,7 +17,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the count rules or lie far from their language."""
-    return quality.sound(docs)
+    return quality.sound(docs, own_references=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
