@@ -297,3 +297,13 @@ def test_long_displays_are_whole(make, put):
 def test_jars_need_leave(make):
     with pytest.raises(ScriptError, match="allow_code"):
         make().run("REGISTER 'x.jar';")
+
+
+def test_database_inside_the_driver(spark):
+    """No task of an executor opens it: on a cluster another process would find another, empty database."""
+    s = Session(spark, {"j": "jdbc:derby:memory:inside;create=true"}, out=lambda *_: None)
+    s.bind("a", spark.range(0, 50_000, 1, 3).selectExpr("cast(id as int) AS K", "if(id % 7 = 0, null, concat('n', id)) AS N"))
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    s.run(f"STORE a INTO 'INSIDE' USING JdbcStorage('{driver}', '$j'); b = LOAD 'INSIDE' USING JdbcStorage('{driver}', '$j') AS (k: int, n: chararray);")
+    assert "JDBC" not in s.df("b")._jdf.queryExecution().executedPlan().toString()
+    assert s.df("b").exceptAll(s.df("a")).count() == 0 and s.df("b").count() == 50_000
