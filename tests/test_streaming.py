@@ -124,3 +124,20 @@ def test_live_windows_by_the_clock(stream):
     s = stream("1,0\n2,10\n3,20\n", "4,35\n5,90\n", "6,95\n")
     s.run("e = LOAD '$d' USING PigStream(',') AS (n: int, ts: long) TIMESTAMP(ts); w = WINDOW e ROWS 2 SLIDE RANGE 30 SECONDS; g = GROUP w ALL; c = FOREACH g GENERATE COUNT(w), MIN(w.n), MAX(w.n); STORE c INTO '$o';")
     assert stream.lines() == ["2,2,3", "2,3,4"]
+
+
+def test_a_stored_order_is_the_order_of_a_stream(spark, tmp_path):
+    """Modification times follow the rows, whichever task ends last."""
+
+    def slow(batches):
+        import time
+
+        for b in batches:
+            time.sleep(1.5 - 0.5 * b.column("n")[0].as_py() / 10)
+            yield b
+
+    s = Session(spark, {"o": str(tmp_path / "out")}, out=lambda *_: None)
+    s.bind("e", spark.range(0, 40, 1, 4).selectExpr("id AS n").mapInArrow(slow, "n long"))
+    s.run("STORE e INTO '$o';")
+    files = sorted((tmp_path / "out").glob("part-*"), key=lambda p: p.stat().st_mtime_ns)
+    assert [p.read_text().split("\n")[0] for p in files] == ["0", "10", "20", "30"]
