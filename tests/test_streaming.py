@@ -141,3 +141,19 @@ def test_a_stored_order_is_the_order_of_a_stream(spark, tmp_path):
     s.run("STORE e INTO '$o';")
     files = sorted((tmp_path / "out").glob("part-*"), key=lambda p: p.stat().st_mtime_ns)
     assert [p.read_text().split("\n")[0] for p in files] == ["0", "10", "20", "30"]
+
+
+def test_windows_over_a_stored_bag_lose_no_row(spark, tmp_path):
+    """Its files come in no order of time: rows of the first times, in the last file, aren't late."""
+    import os
+
+    s = Session(spark, {"d": str(tmp_path / "in"), "o": str(tmp_path / "out")}, out=lambda *_: None)
+    s.bind("a", spark.range(0, 400, 1, 4).selectExpr("400 - id AS ts", "'k' AS k"))
+    s.run("STORE a INTO '$d';")
+    now = max(p.stat().st_mtime for p in (tmp_path / "in").glob("part-*"))
+    for i in (1, 2):
+        (tmp_path / "in" / f"zz{i}").write_text(f"{100_000 + i},end\n")
+        os.utime(tmp_path / "in" / f"zz{i}", (now + i, now + i))
+    s.run("e = LOAD '$d' USING PigStream(',') AS (ts: long, k: chararray) TIMESTAMP(ts); w = WINDOW e RANGE 60 SECONDS; g = GROUP w BY k; c = FOREACH g GENERATE group, COUNT(w); STORE c INTO '$o';")
+    lines = [x for p in (tmp_path / "out").glob("part-*") for x in p.read_text().split("\n") if x]
+    assert sum(int(x.split(",")[1]) for x in lines if x.startswith("k,")) == 400
