@@ -307,3 +307,20 @@ def test_database_inside_the_driver(spark):
     s.run(f"STORE a INTO 'INSIDE' USING JdbcStorage('{driver}', '$j'); b = LOAD 'INSIDE' USING JdbcStorage('{driver}', '$j') AS (k: int, n: chararray);")
     assert "JDBC" not in s.df("b")._jdf.queryExecution().executedPlan().toString()
     assert s.df("b").exceptAll(s.df("a")).count() == 0 and s.df("b").count() == 50_000
+
+
+def test_aggregates_of_a_join_dont_make_its_rows(spark):
+    """Ten million pairs of one key, two keys that match nothing, null keys and fields of each input."""
+    s = Session(spark, out=lambda *_: None)
+    s.bind("a", spark.range(4000).selectExpr("cast(if(id < 3998, 1, if(id = 3998, 2, null)) as int) AS k", "if(id % 2 = 0, id, null) AS x"))
+    s.bind("b", spark.range(5001).selectExpr("if(id < 5000, 1, null) AS k", "cast(id as double) AS y"))
+    s.bind("c", spark.createDataFrame([(1, "p"), (1, "p"), (1, "q"), (3, "r")], "k int, n string"))
+    script = "j = JOIN a BY k, b BY k, c BY k; g = GROUP j BY n; f = FILTER g BY COUNT(j) > 20000000; "
+    aggregates = "group, COUNT(j), SUM(j.x), SUM(j.y), AVG(j.x), MIN(j.y), MAX(j.x)"
+    s.run(script + f"r = FOREACH f GENERATE {aggregates}; h = GROUP j ALL; t = FOREACH h GENERATE COUNT(j), MIN(j.n); d = FILTER j BY x == 2; e = GROUP d BY n; u = FOREACH e GENERATE group, COUNT(d);")
+    x, y, pairs = sum(range(0, 3998, 2)), sum(range(5000)), 3998 * 5000
+    assert [tuple(r) for r in s.df("r").collect()] == [("p", 2 * pairs, 2 * 5000 * x, 2.0 * 3998 * y, x / 1999, 0.0, 3996)]
+    assert [tuple(r) for r in s.df("t").collect()] == [(3 * pairs, "p")]
+    assert sorted(map(tuple, s.df("u").collect())) == [("p", 10000), ("q", 5000)]
+    plan = s.df("r")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("Aggregate") and plan.count("Aggregate") == 4
