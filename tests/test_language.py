@@ -324,3 +324,16 @@ def test_aggregates_of_a_join_dont_make_its_rows(spark):
     assert sorted(map(tuple, s.df("u").collect())) == [("p", 10000), ("q", 5000)]
     plan = s.df("r")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.rindex("Aggregate") and plan.count("Aggregate") == 4
+
+
+def test_aggregates_of_a_cogroup_build_no_bags(spark):
+    s = Session(spark, out=lambda *_: None)
+    s.bind("a", spark.createDataFrame([(1, 5), (1, 7), (None, 1), (2, None)], "k int, x int"))
+    s.bind("b", spark.createDataFrame([(1, "u"), (3, "v"), (3, "v"), (None, "w")], "k bigint, y string"))
+    s.run("""c = COGROUP a BY k, b BY k; r = FOREACH c { w = FILTER a BY x > 5; y = b.y; d = DISTINCT y; GENERATE group, COUNT(a), COUNT(w), SUM(a.x), MAX(b.y), COUNT(d), ISEMPTY(b); };
+    f = FILTER c BY NONEMPTY(a) AND COUNT(b) > 0; q = FOREACH f GENERATE group AS k, COUNT(b) AS n; whole = FOREACH f GENERATE group AS k, FLATTEN(b);""")
+    want = {(1, 2, 1, 12, "u", 1, False), (None, 1, 0, 1, "w", 1, False), (2, 1, 0, None, None, 0, True), (3, 0, 0, None, "v", 1, False)}
+    assert set(map(tuple, s.df("r").collect())) == want
+    assert set(map(tuple, s.df("q").collect())) == {(1, 1), (None, 1)}
+    assert {tuple(r) for r in s.df("whole").collect()} == {(1, 1, "u"), (None, None, "w")}
+    assert all("collect_list" not in s.df(a)._jdf.queryExecution().optimizedPlan().toString() for a in ("r", "q"))
