@@ -157,3 +157,21 @@ def test_windows_over_a_stored_bag_lose_no_row(spark, tmp_path):
     s.run("e = LOAD '$d' USING PigStream(',') AS (ts: long, k: chararray) TIMESTAMP(ts); w = WINDOW e RANGE 60 SECONDS; g = GROUP w BY k; c = FOREACH g GENERATE group, COUNT(w); STORE c INTO '$o';")
     lines = [x for p in (tmp_path / "out").glob("part-*") for x in p.read_text().split("\n") if x]
     assert sum(int(x.split(",")[1]) for x in lines if x.startswith("k,")) == 400
+
+
+def test_running_aggregates_over_batches_are_no_python(stream):
+    """Each batch is summed by Spark, with the sums of those before."""
+    s = stream("1,5\n,1\n", "1,0\n,2\n", "1,7\n2,3\n")
+    s.run("e = LOAD '$d' USING PigStream(',') AS (k: chararray, n: int); g = GROUP e BY k; r = FOREACH g GENERATE group, COUNT(e), SUM(e.n), MIN(e.n); f = FILTER r BY $1 > 1; STORE f INTO '$o';")
+    assert stream.lines() == [",2,3,1", "1,2,5,0", "1,3,12,0"]
+    assert "ApplyInPandasWithState" not in s.relation("r").df._jdf.queryExecution().logical().toString()
+    with pytest.raises(ScriptError, match="micro-batch"):
+        s.df("r")
+
+
+def test_live_windows_by_count_are_no_single_task(stream):
+    """Windows over several batches, and one that none fills, from positions."""
+    s = stream("1\n2\n", "3\n", "4\n5\n6\n7\n")
+    s.run("e = LOAD '$d' USING PigStream(',') AS (n: int); w = WINDOW e ROWS 4 SLIDE ROWS 1; g = GROUP w ALL; c = FOREACH g GENERATE COUNT(w), MIN(w.n), MAX(w.n); STORE c INTO '$o';")
+    assert stream.lines() == ["4,1,4", "4,2,5", "4,3,6", "4,4,7"]
+    assert "InPandasWithState" not in s.relation("w").df._jdf.queryExecution().logical().toString()
