@@ -80,3 +80,17 @@ def test_partition_parameters(spark):
     assert s.df("b").rdd.getNumPartitions() >= 10 and s.df("b").count() == 100 and s.df("c").rdd.getNumPartitions() == 4
     with pytest.raises(ScriptError, match="takes"):
         s.run("d = PARTITION a ON g USING BSP(nothing=3);")
+
+
+def test_a_join_takes_rows_from_before_their_layout(spark):
+    """PARTITION and INDEX deal rows out by place; a join by cells does so itself and needs neither exchange."""
+    from weftline.session import Session
+
+    s = Session(spark, out=lambda *_: None)
+    s.bind("e", spark.range(2000).selectExpr("id", "id % 50 AS x", "id % 40 AS y"))
+    s.run("""p = FOREACH e GENERATE id, geometry("POINT(" + x + " " + y + ")") AS g; f = FILTER e BY id == 7; c = FOREACH f GENERATE id AS n, geometry("POLYGON((0 0, 9 0, 9 9, 0 9, 0 0))") AS h;
+    q = PARTITION p ON g USING BSP(sideLength=2, maxCost=5); i = INDEX q ON g USING RTREE(order=5); j = SPATIAL_JOIN i, c ON containedBy(g, h); k = FILTER i BY id > 1000; m = SPATIAL_JOIN k, c ON containedBy(g, h);""")
+    inside = [n for n in range(2000) if n % 50 <= 9 and n % 40 <= 9]
+    assert sorted(r[0] for r in s.df("j").collect()) == inside
+    assert sorted(r[0] for r in s.df("m").collect()) == [n for n in inside if n > 1000]
+    assert "Repartition" not in s.df("j")._jdf.queryExecution().optimizedPlan().toString()
